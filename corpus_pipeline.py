@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trellis.llm import mixing, secrets, toxicity
+from public_tokenizers import path
+
+from trellis.llm import mixing, pieces, secrets, similar, toxicity
 from trellis.llm.common import table, written
 
 
@@ -13,6 +15,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9, near duplicates: one document of each group stays, that with the smallest doc_id."""
+    return similar.keep_one(docs)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: every span found is replaced by a mark."""
     return secrets.redact(docs)
@@ -23,7 +30,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("secrets", redact_secrets), ("mixing", mix)]
+def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: sampled piece ids of each document, their checksum, and whether they decode to the text."""
+    return pieces.digested(docs, path("piece_bpe_32k.model"))
+
+
+STAGES = [("toxicity", drop_toxic), ("near duplicates", keep_one_of_each), ("secrets", redact_secrets), ("mixing", mix), ("pieces", sample_pieces)]
 
 #: A learned classifier and sampled segmentations aren't SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
@@ -31,6 +43,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "pipeline")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, neighbours, passages, pieces, secrets, tokenfile, toxicity, warc
+from . import media, mixing, neighbours, passages, pieces, secrets, similar, tokenfile, toxicity, warc
 
 QUERIES = {
     "op1_token_files": tokenfile.op1_token_files,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_media": media.op7_media,
     "op8_warc": warc.op8_warc,
+    "op9_similar_documents": similar.op9_similar_documents,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
