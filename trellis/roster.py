@@ -109,7 +109,7 @@ CYPHER: dict[str, tuple[str, str | None]] = {
     "varlen_1_2": ("MATCH (p:part {p_partkey: 7})-[:co_bought*1..2]-(q) RETURN q.p_partkey AS q, count(q) AS n", f"{_WALK2} SELECT q, count(*) AS n FROM w GROUP BY 1"),
     "varlen_2_2": ("MATCH (p:part {p_partkey: 7})-[:co_bought*2..2]-(q) WHERE q.p_size < 10 RETURN q.p_partkey AS q", f"WITH {_CO} SELECT y.d AS q FROM cb x JOIN cb y ON x.d = y.s JOIN part ON p_partkey = y.d WHERE x.s = 7 AND p_size < 10"),
     "varlen_0_1": ("MATCH (p:part {p_partkey: 7})-[:co_bought*0..1]->(q) RETURN q.p_partkey AS q", f"WITH {_CO} SELECT p2 AS q FROM co WHERE p1 = 7 UNION ALL SELECT 7"),
-    "varlen_unbounded": ("MATCH (s:supplier {s_suppkey: 1})-[*]->(x) WHERE x.label = 'region' RETURN x.r_name AS r", "SELECT r_name AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey = 1"),
+    "varlen_unbounded": ("MATCH (n:nation {n_nationkey: 1})-[:part_of*]->(x) RETURN x.r_name AS r", "SELECT r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 1"),
     "varlen_distinct": ("MATCH (p:part {p_partkey: 7})-[:co_bought*1..2]-(q) RETURN DISTINCT q.p_partkey AS q", f"{_WALK2} SELECT DISTINCT q FROM w"),
     "multi_path": ("MATCH (c:customer)-[:placed]->(o)-[:contains]->(p), (c)-[:lives_in]->(n)-[:part_of]->(r) WHERE p.p_size = 5 RETURN r.r_name AS r, count(o) AS n", "SELECT r_name AS r, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE p_size = 5 GROUP BY 1"),
     "consecutive_match": ("MATCH (s:supplier)-[:based_in]->(n) MATCH (n)-[:part_of]->(r {r_name: 'ASIA'}) RETURN s.s_name AS s, n.n_name AS n", "SELECT s_name AS s, n_name AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"),
