@@ -114,7 +114,7 @@ def linked(docs: DataFrame) -> DataFrame:
     rows = rows.repartition(parts, "tok").distinct()
     shared = rows.withColumn("df", F.count("*").over(Window.partitionBy("tok"))).filter("df > 1")
     packed = F.shiftleft(F.least("df", F.lit(32767)), 48).bitwiseOR(F.col("tok").bitwiseAND(F.lit((1 << 48) - 1)))
-    lists = shared.select("cls", packed.alias("x")).repartition(parts, "cls").groupBy("cls").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    lists = shared.select("cls", packed.alias("x")).groupBy("cls").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     lists = lists.join(classes.select("cls", "n"), "cls").withColumn("q", (prefix_length(F.col("n")) - (F.col("n") - F.size("xs"))).cast("int"))
     lists = written(lists.filter("q > 0"), "lists")
 
