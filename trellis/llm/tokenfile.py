@@ -29,7 +29,7 @@ MAGIC = b"TRLEF001"
 HEAD = "<8sIIQQQ"
 END_ID = 2
 #: Words kept with their ids per worker; the store is emptied beyond it, so memory is bounded.
-KEPT = 250_000
+KEPT = 600_000
 SAMPLE = 512
 
 
@@ -143,6 +143,16 @@ class WordEncoder:
         return b"".join(ids)
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One per worker process, so that the words met by one task serve the next."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def write_shards(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None) -> list[dict]:
     """Encode docs (doc_id, text) into shard files below uri. Returns a row per shard: shard, path, docs, ids.
 
@@ -156,7 +166,7 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = WordEncoder(tokenizer)
+        encode = encoder(tokenizer)
         end = np.array([end_id], encode.dtype).tobytes()
         shard = TaskContext.get().partitionId()
         ends, doc_ids, chunks, total, nulls = [], [], [], 0, 0
