@@ -25,18 +25,30 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SEED, THETA, KEPT = 2024, 1.0, 3_000_000
+SEED, THETA, KEPT = 2024, 1.0, 4_000_000
 CHUNK = r"\n| *[^ \n]+| +"
 #: Characters that are sampled at once; a batch holds whole texts.
 BATCH = 1_000_000
 
 
+#: Chunks of this length are laid out by array operations, so many characters at a time.
+SHORT, AT_ONCE = 40, 60_000
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def piece_hash(s: str) -> int:
+    h = 0
+    for c in s:
+        h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) % 2**64
+    return h
+
+
 class Vocabulary:
     def __init__(self, path: str, theta: float = THETA):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.weight: dict[str, tuple[float, int]] = {}
+        found: dict[str, tuple[float, int]] = {}
         self.byte = [0] * 256
         self.bytes: list[bytes] = []
         rank = 0
@@ -51,9 +63,20 @@ class Vocabulary:
                 s = p.replace("▁", " ")
                 self.bytes.append(s.encode())
                 rank += 1
-                if re.fullmatch(CHUNK, s):
-                    self.weight[s] = ((rank + 10.0) ** -theta, i)
+                found[s] = ((rank + 10.0) ** -theta, i)
+        # a mark that no piece holds after a letter starts a chunk of its own: fewer different chunks
+        inside = set().union(*(re.findall(r"(?<=[^\W\d_])[^\w\s]", s) for s in found))
+        marks = re.escape("".join(c for c in ".,;:!?|" if c not in inside))
+        chunk = rf"\n| *[^ \n{marks}]+| *[{marks}][^ \n]*| +" if marks else CHUNK
+        self.cut = re.compile(chunk).findall
+        self.weight = {s: w for s, w in found.items() if self.cut(s) == [s]}
         self.longest = max(map(len, self.weight))
+        self.by_length = {}
+        for k in range(1, self.longest + 1):
+            own = [(piece_hash(s), *x) for s, x in self.weight.items() if len(s) == k]
+            if own:
+                own.sort()
+                self.by_length[k] = (np.array([x[0] for x in own], np.uint64), np.array([x[1] for x in own]), np.array([x[2] for x in own], np.int32))
 
     def decode(self, ids) -> str:
         """The text of a list of ids; the space put before it goes."""
@@ -81,7 +104,8 @@ class Lattices:
         self.base: dict[str, int] = {}
         self.nodes = 0
         self._cum, self._piece, self._back = [], [], []
-        self._done = (np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int16))
+        self._room = [np.zeros(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int16)]
+        self._edges = 0
 
     def add(self, s: str) -> int:
         """Place the chunk's nodes 1..len(s) after those that are there. Node b + j stands for its first j characters."""
@@ -112,11 +136,75 @@ class Lattices:
         self.nodes += len(s) + 1
         return b
 
+    def add_all(self, chunks: list[str]) -> None:
+        """The same for many chunks at once: SHORT characters at most by array operations, longer ones one by one."""
+        short = [c for c in chunks if len(c) <= SHORT]
+        for c in chunks:
+            if len(c) > SHORT:
+                self.add(c)
+        i = 0
+        while i < len(short):
+            j, n = i, 0
+            while j < len(short) and (j == i or n + len(short[j]) <= AT_ONCE):
+                n += len(short[j])
+                j += 1
+            self._add_short(short[i:j])
+            i = j
+
+    def _add_short(self, chunks: list[str]) -> None:
+        v, longest = self.v, min(self.v.longest, SHORT)
+        length = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        char = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        n = len(char)
+        pos = np.arange(n) - np.repeat(np.cumsum(length) - length, length) + 1  # of each character in its chunk, from 1
+        w, ids = np.zeros((n, longest)), np.zeros((n, longest), np.int32)
+        h = np.zeros(n, np.uint64)
+        for k in range(1, longest + 1):  # the piece of k characters that ends here
+            h = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) * _BASE + char + np.uint64(1)
+            table = v.by_length.get(k)
+            if table is not None:
+                at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
+                hit = (table[0][at] == h) & (pos >= k)
+                w[hit, longest - k], ids[hit, longest - k] = table[1][at[hit]], table[2][at[hit]]
+        lone = w[:, -1] == 0
+        w[lone, -1] = 1e-6
+        c = char[lone].astype(np.int64)
+        ids[lone, -1] = np.where(c < 128, np.array(v.byte)[np.minimum(c, 127)], -c)
+        alpha, back = np.ones(n + longest), np.arange(longest, 0, -1)
+        order = np.argsort(pos, kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(pos)[1:])])
+        for j in range(1, len(edges)):  # alpha of the node after character p lies at p + longest; before a chunk it is 1
+            sel = order[edges[j - 1] : edges[j]]
+            own = w[sel]
+            for k in range(1, min(j, longest) + 1):
+                if k < j:
+                    own[:, longest - k] *= alpha[sel - k + longest]
+            w[sel] = own
+            alpha[sel + longest] = own.sum(1)
+        cum = np.cumsum(w, axis=1)
+        cum /= cum[:, -1:]
+        first = self.nodes
+        for c, b in zip(chunks, (first + np.cumsum(length + 1) - length - 1).tolist()):
+            self.base[c] = b
+        node = first + np.arange(n) + np.repeat(np.arange(len(chunks)), length) + 1
+        self.nodes += n + len(chunks)
+        cum[:, -1] = 1.0
+        there = w > 0
+        self.arrays()
+        self._cum, self._piece, self._back = (node[:, None] + cum)[there], ids[there], np.broadcast_to(back, w.shape)[there]
+        self.arrays()
+
     def arrays(self):
-        if self._cum:
-            self._done = tuple(np.concatenate([a, np.array(x, a.dtype)]) for a, x in zip(self._done, (self._cum, self._piece, self._back)))
-            self._cum, self._piece, self._back = [], [], []
-        return self._done
+        """All edges so far: cumulative probability by node, piece, length. Room grows by doubling."""
+        n, new = self._edges, len(self._cum)
+        if new:
+            while n + new > len(self._room[0]):
+                self._room = [np.concatenate([x, np.zeros_like(x)]) for x in self._room]
+            for x, y in zip(self._room, (self._cum, self._piece, self._back)):
+                x[n : n + new] = y
+            self._edges = n = n + new
+        self._cum, self._piece, self._back = [], [], []
+        return tuple(x[:n] for x in self._room)
 
 
 def row_seed(key, seed: int = SEED) -> int:
@@ -127,7 +215,7 @@ class Sampler:
     def __init__(self, path: str, seed: int = SEED, theta: float = THETA):
         self.v = Vocabulary(path, theta)
         self.lattices = Lattices(self.v)
-        self.cut = re.compile(CHUNK).findall
+        self.cut = self.v.cut
         self.seed = seed
 
     def __call__(self, keys: list, texts: list[str]) -> list[np.ndarray]:
@@ -144,11 +232,8 @@ class Sampler:
             return [np.zeros(0, np.int32) for _ in texts]
         base = list(map(lat.base.get, chunks))
         if None in base:
-            get = lat.base.get
-            for k, b in enumerate(base):
-                if b is None:
-                    b = get(chunks[k])
-                    base[k] = lat.add(chunks[k]) if b is None else b
+            lat.add_all(list(dict.fromkeys(c for c, b in zip(chunks, base) if b is None)))
+            base = list(map(lat.base.__getitem__, chunks))
         cum, piece, back = lat.arrays()
         base = np.array(base, np.int64)
         length = np.fromiter(map(len, chunks), np.int64, len(chunks))
@@ -184,6 +269,16 @@ class Sampler:
         return np.concatenate([*parts, ids[last:]])
 
 
+_samplers: dict[tuple, Sampler] = {}
+
+
+def sampler(*args) -> Sampler:
+    """One per worker process, so that the chunks met by one task serve the next."""
+    if args not in _samplers:
+        _samplers[args] = Sampler(*args)
+    return _samplers[args]
+
+
 def stretches(keys: list, texts: list, most: int = BATCH):
     """Consecutive rows of at most `most` characters together, or one row."""
     a, n = 0, 0
@@ -202,7 +297,7 @@ def encoded(docs: DataFrame, model: str, seed: int = SEED, theta: float = THETA)
     def run(batches):
         import pyarrow as pa
 
-        s = Sampler(model, seed, theta)
+        s = sampler(model, seed, theta)
         for b in batches:
             for keys, texts in stretches(b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]):
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(s(keys, texts), pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -229,7 +324,7 @@ def digested(docs: DataFrame, model: str, seed: int = SEED, theta: float = THETA
     def run(batches):
         import pyarrow as pa
 
-        s = Sampler(model, seed, theta)
+        s = sampler(model, seed, theta)
         for b in batches:
             for keys, texts in stretches(b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]):
                 ids = s(keys, texts)
