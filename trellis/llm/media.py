@@ -16,7 +16,7 @@ import struct
 import zlib
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table, written
 
@@ -206,7 +206,8 @@ def sniffed(df: DataFrame, data: str = "data", declared: str = "declared") -> Da
     """Appends true_type and carved (array of kind, offset, length) to df. Null data has a null type and nothing carved."""
     df = df.drop("true_type", "carved")
     i, j, names = df.columns.index(data), df.columns.index(declared), [*df.columns, "true_type", "carved"]
-    out = df.limit(0).withColumn("true_type", F.lit("").cast("string")).withColumn("carved", F.array().cast("array<struct<kind:string,offset:long,length:long>>"))
+    kind_ = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())]))
+    out = T.StructType([*df.schema.fields, T.StructField("true_type", T.StringType()), T.StructField("carved", kind_)])
 
     def run(batches):
         import pyarrow as pa
@@ -222,7 +223,7 @@ def sniffed(df: DataFrame, data: str = "data", declared: str = "declared") -> Da
                 carved.append([{"kind": k, "offset": o, "length": n} for k, o, n in found])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(types, pa.string()), pa.array(carved, kind)], names)
 
-    return df.mapInArrow(run, out.schema)
+    return df.mapInArrow(run, out)
 
 
 def stored(docs: DataFrame) -> DataFrame:
