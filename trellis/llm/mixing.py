@@ -100,6 +100,3 @@ def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     if "n_chars" in docs.columns:
         j = j.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return j.select(*docs.columns)
-
-
-#: `taken` hangs on a hash that DuckDB lacks; tests hold it against a brute-force version.

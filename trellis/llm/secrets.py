@@ -161,12 +161,3 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return d.select(*docs.columns)
-
-
-#: The base spans, for one kind at a time: the text is cut at each match, and lengths are summed up.
-def _sql(kind: str, pattern: str, least: str) -> str:
-    return f"""
-  SELECT doc_id, '{kind}' AS kind, {KINDS.index(kind)} AS k, s, s + length(m) AS e FROM (
-    SELECT doc_id, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS s FROM (
-      SELECT doc_id, unnest(ms) AS m, unnest(gs[:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM (
-        SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM d WHERE regexp_matches(t, '{pattern}')))) WHERE {least}"""
