@@ -129,6 +129,35 @@ def test_piece_distribution():
         assert abs(seen[p] / n - share) < 5 * math.sqrt(share / n) + 1e-3
 
 
+def test_pieces_across_marks():
+    """No piece of the model is left out, and pieces that hold a mark after another are drawn as often as all paths say."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    normal = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    full = {sp.id_to_piece(i).replace("▁", " "): (1 / (rank + 10), i) for rank, i in enumerate(normal, 1)}
+    s = pieces.Sampler(path("piece_bpe_32k.model"))
+    assert set(s.v.weight) == set(full)
+    for text in ('f("a"),', 'x":"y"},'):
+        word, paths = " " + text, {}
+
+        def go(at, ids, w):
+            if at == len(word):
+                paths[tuple(ids)] = w
+            for e in range(at + 1, len(word) + 1):
+                if word[at:e] in full:
+                    go(e, [*ids, full[word[at:e]][1]], w * full[word[at:e]][0])
+
+        go(0, [], 1.0)
+        assert any(full['"),' if "f" in word else '"},'][1] in p for p in paths)
+        n = 20000
+        seen = Counter(tuple(x.tolist()) for x in s(list(range(n)), [text] * n))
+        assert set(seen) <= set(paths)
+        for p, w in paths.items():
+            share = w / sum(paths.values())
+            assert abs(seen[p] / n - share) < 5 * math.sqrt(share / n) + 1e-3
+
+
 def test_passages(docs):
     rows = [(d[0], WORD(d[1] or "")) for d in DOCS]
     first = {}

@@ -1,7 +1,8 @@
 """SentencePiece sampling: forward filtering, backward sampling over the piece lattice.
 
-The text, with a space put before it, is cut at spaces and line ends into chunks that no piece crosses, so the lattice of
-a text is a chain of the chunks' lattices. Forward sums alpha[j] of a chunk depend on its string alone; they are worked
+The text, with a space put before it, is cut at spaces, line ends and marks into chunks that no piece crosses, so the
+lattice of a text is a chain of the chunks' lattices. A mark starts a chunk only after a character with which no piece of
+the model holds it; a model with a piece across chunks is refused. Forward sums alpha[j] of a chunk depend on its string alone; they are worked
 out once per chunk and worker, and kept for up to KEPT nodes. Backward sampling then goes from each chunk's end to its
 start and draws the last piece with probability alpha[i] * weight(piece) / alpha[j]. It runs over all chunks of a batch at
 once: the edges into all nodes lie in one array, ordered by node and cumulative probability, and one search gives the
@@ -27,6 +28,8 @@ from .common import table
 
 SEED, THETA, KEPT = 2024, 1.0, 4_000_000
 CHUNK = r"\n| *[^ \n]+| +"
+#: Marks that may start a chunk, where no piece of the model holds them with the character before.
+MARKS = ".,;:!?|"
 #: Characters that are sampled at once; a batch holds whole texts.
 BATCH = 1_000_000
 
@@ -64,12 +67,20 @@ class Vocabulary:
                 self.bytes.append(s.encode())
                 rank += 1
                 found[s] = ((rank + 10.0) ** -theta, i)
-        # a mark that no piece holds after a letter starts a chunk of its own: fewer different chunks
-        inside = set().union(*(re.findall(r"(?<=[^\W\d_])[^\w\s]", s) for s in found))
-        marks = re.escape("".join(c for c in ".,;:!?|" if c not in inside))
-        chunk = rf"\n| *[^ \n{marks}]+| *[{marks}][^ \n]*| +" if marks else CHUNK
+        # a mark starts a chunk of its own except after the characters that a piece holds before it: fewer different chunks
+        before: dict[str, set[str]] = {c: set() for c in MARKS}
+        for s in found:
+            for a, b in zip(s, s[1:]):
+                if b in before:
+                    before[b].add(a)
+        marks = {c: "".join(sorted(x)) for c, x in before.items() if not any(map(str.isalpha, x))}
+        joined = "".join(rf"|(?<=[{re.escape(x)}]){re.escape(c)}" for c, x in marks.items() if x)
+        chunk = rf"\n| *[^ \n](?:[^ \n{re.escape(''.join(marks))}]{joined})*+| +" if marks else CHUNK
         self.cut = re.compile(chunk).findall
-        self.weight = {s: w for s, w in found.items() if self.cut(s) == [s]}
+        crossing = [s for s in found if self.cut(s) != [s]]
+        if crossing:
+            raise ValueError(f"pieces across chunks: {crossing[:5]}")
+        self.weight = found
         self.longest = max(map(len, self.weight))
         self.by_length = {}
         for k in range(1, self.longest + 1):
