@@ -49,6 +49,26 @@ def test_walks(world):
     assert bag(e.run("MATCH (a)-[:knows*1..2]->(b) RETURN a.id AS a, b.id AS b")) == out
 
 
+def test_walks_without_bound(spark):
+    """A chain of 14 edges with a double edge at its start, every length of walk; a cycle is an error."""
+    line = [(i, i + 1) for i in range(14)] + [(0, 1)]
+    v = spark.createDataFrame([(i,) for i in range(15)], "id long")
+    g = PropertyGraph(spark).add_vertices("v", v, "id").add_edges("to", "v", "v", spark.createDataFrame(line, "a long, b long"), "a", "b")
+    g.add_edges("round", "v", "v", spark.createDataFrame([(0, 1), (1, 0)], "a long, b long"), "a", "b")
+    e = Engine(g)
+    for low in (0, 1, 11):
+        want = Counter({(a, b): 2 if a == 0 and b > 0 else 1 for a in range(15) for b in range(a + low, 15)})
+        assert bag(e.run(f"MATCH (a:v)-[:to*{low}..]->(b) RETURN a.id AS a, b.id AS b")) == want
+    with pytest.raises(QueryError):
+        Engine(g, max_hops=5).run("MATCH (a:v)-[:round*]->(b) RETURN a.id AS a").count()
+
+
+def test_walks_roster_without_bound(spark):
+    orders = duckdb.sql(f"SELECT * FROM read_parquet('{SF}/orders.parquet')")
+    want = Counter(orders.query("orders", roster.SQL["varlen_unbounded_all"]).fetchall())
+    assert bag(roster.QUERIES["varlen_unbounded_all"](spark, SF)) == want
+
+
 def test_patterns_and_optional(world):
     e, people, knows = world
     starts = {a for a, _ in knows}

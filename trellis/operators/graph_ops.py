@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import QueryError
+from ..llm.common import written
 from ..sources.graph import Edges
 
 
@@ -80,3 +82,30 @@ def walks(df: DataFrame, start: str, start_label: str | None, edges, low: int, h
         return here.limit(0).withColumnRenamed("__f", end).withColumnRenamed("__fl", end_label)
     u = reduce(lambda a, b: a.unionByName(b), out)
     return u.withColumnRenamed("__f", end).withColumnRenamed("__fl", end_label)
+
+
+def open_walks(df: DataFrame, start: str, start_label: str, edges: DataFrame | None, low: int, most: int, end: str, end_label: str) -> DataFrame:
+    """Walks without an upper bound: one row per walk of low edges or more. edges are rows named __w.
+
+    The driver writes each frontier to the shared folder until it is empty. A frontier holds how many walks lead from a
+    row to a vertex, so it has at most rows times vertices. Walks of more than `most` edges are an error.
+    """
+    here = df.withColumn("__f", F.col(start)).withColumn("__fl", F.col(start_label).cast("string")).withColumn("__n", F.lit(1).cast("long"))
+    out, keep = [here] if low == 0 else [], here.columns[:-1]
+    if edges is None:
+        return (out[0] if out else here.limit(0)).drop("__n").withColumnRenamed("__f", end).withColumnRenamed("__fl", end_label)
+    edges, k = written(edges, "walk-edges"), 0
+    while True:
+        on = (F.col("__f") == F.col("__w__s")) & (F.col("__fl") == F.col("__w__sl"))
+        here = here.join(edges, on).drop("__f", "__fl", "__w__s", "__w__sl").withColumnRenamed("__w__d", "__f").withColumnRenamed("__w__dl", "__fl")
+        here = written(here.groupBy(*keep).agg(F.sum("__n").alias("__n")), "walks")
+        if here.isEmpty():
+            break
+        k += 1
+        if k > most:
+            raise QueryError(f"a walk without an upper bound has more than {most} edges")
+        if k >= low:
+            out.append(here)
+    u = reduce(lambda a, b: a.unionByName(b), out) if out else here
+    u = u.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n")
+    return u.withColumnRenamed("__f", end).withColumnRenamed("__fl", end_label)

@@ -20,7 +20,7 @@ from ..sources.graph import PropertyGraph
 from . import checks
 from .nodes import Agg, Bin, Item, Lit, Node, Param, Path, Project, Prop, Rel, Un, Var, conjuncts, has_agg, names, walk
 
-MAX_HOPS = 10  # of a walk without an upper bound
+MAX_HOPS = 255  # of a walk without an upper bound; a longer one is an error
 
 
 @dataclass(frozen=True)
@@ -365,13 +365,15 @@ class Compiler:
     def walk_(self, st: State, a: str, r: Rel, b: str, nodes, labels, closing: bool) -> State:
         if r.props or self.needs.get(r.var):
             raise SemanticProblem("properties of a walk of several relationships")
-        high = self.max_hops if r.high == -1 else r.high
         defs = self.g.edge_defs(r.type)
         every = {x for d in defs for x in (d.src_label, d.dst_label)}
         end, end_label = self.name("end"), self.name("endl")
         src_label = self.name("sl")
         df = st.df.withColumn(src_label, F.col(f"{a}__label"))
-        w = O.walks(df, f"{a}__id", src_label, lambda k: O.edge_rows(defs, r.way, every, every, (), f"__w{k}"), r.low, high, end, end_label, every).drop(src_label)
+        if r.high == -1:
+            w = O.open_walks(df, f"{a}__id", src_label, O.edge_rows(defs, r.way, every, every, (), "__w"), r.low, self.max_hops, end, end_label).drop(src_label)
+        else:
+            w = O.walks(df, f"{a}__id", src_label, lambda k: O.edge_rows(defs, r.way, every, every, (), f"__w{k}"), r.low, r.high, end, end_label, every).drop(src_label)
         want = labels[b] if labels[b] else frozenset()
         if want != frozenset(every):
             w = w.filter(F.col(end_label).isin(*want) if want else F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .engine import Engine
@@ -160,7 +160,16 @@ def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse(graph(spark, sf_dir)).V("customer").out("placed").has("o_totalprice", gt(100000)).count().to_df()
 
 
+def _later(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks of any length, from all orders, along the chain of each customer's orders."""
+    g, o = graph(spark, sf_dir), _table(spark, f"{sf_dir}/orders.parquet")
+    then = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    g.add_edges("followed_by", "orders", "orders", o.select("o_orderkey", then.alias("then")).filter("then IS NOT NULL"), "o_orderkey", "then")
+    return Engine(g).run("MATCH (a:orders)-[:followed_by*]->(b) RETURN a.o_orderkey AS a, count(b) AS n")
+
+
 OTHER = {
+    "varlen_unbounded_all": (_later, "SELECT a.o_orderkey AS a, count(*) AS n FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderkey > a.o_orderkey GROUP BY 1"),
     "expand_into_exists": (_cypher("MATCH (s:supplier)-[:supplies]->(p:part), (s)-[:supplies]->(p) RETURN count(p) AS n", into="exists"), "SELECT count(*) AS n FROM lineitem"),
     "index_ddl": (_indexed, "SELECT p_partkey AS k, p_size::BIGINT AS size FROM part WHERE p_size >= 20 AND p_size < 25"),
     "degree_histogram": (_degrees, "SELECT quantile_cont(n, 0.4) AS p40, quantile_cont(n, 0.6) AS p60, quantile_cont(n, 0.99) AS p99 FROM (SELECT c_custkey, count(event_id) AS n FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1)"),
