@@ -220,6 +220,26 @@ def test_secrets(docs):
     assert secrets.digest(secrets.scanned(empty(docs))).count() == 0
 
 
+def test_step_up_is_exact(spark):
+    """Strata of few small p values, many, ties and none against Benjamini-Hochberg as defined."""
+    r = random.Random(7)
+    rows = [("hex", 1, 10 ** -r.uniform(9, 12)) for _ in range(20)] + [("hex", 1, r.random()) for _ in range(1980)]
+    rows += [("base64", 1, r.random() ** 6) for _ in range(1500)] + [("base64", 2, r.choice([0.001, 0.04, 0.3])) for _ in range(300)]
+    rows += [("base64", 3, 0.5 + r.random() / 2) for _ in range(50)] + [("base32", 1, 1e-300), ("base32", 2, 1.0)]
+    rows += [("base64", s, r.random() ** 1.5) for s in range(4, 30) for _ in range(60)]
+    strata = defaultdict(list)
+    for enc, stratum, p in rows:
+        strata[enc, stratum].append(p)
+    want = {}
+    for k, ps in strata.items():
+        passed = [p for i, p in enumerate(sorted(ps), 1) if p <= secrets.FDR * i / len(ps)]
+        if passed:
+            want[k] = max(passed)
+    assert len([p for p in strata["hex", 1] if p <= want["hex", 1]]) >= 20
+    got = {(x["enc"], x["stratum"]): x["cut"] for x in secrets.cuts(spark.createDataFrame(rows, "enc string, stratum long, p double")).collect()}
+    assert got == want
+
+
 def test_media(docs):
     got = Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in media.features(media.stored(docs)).collect())
     want = Counter()

@@ -9,7 +9,8 @@ characters. Each candidate gets three tests of the hypothesis "drawn uniformly f
 alphabet's classes (fold to 16 classes), Wald-Wolfowitz runs above and below the alphabet's middle, and lag-one serial
 correlation; the three z values are combined by Stouffer's rule into a p value. Structured text rejects, a secret
 doesn't. Which rejections count is settled by Benjamini-Hochberg within strata of encoding and length, as short strings
-have less power; a histogram of BINS p-value bins per stratum makes the step-up rule one small aggregate at any size.
+have less power; it is exact. A histogram of ln p per stratum, BINS bins a unit, holds each bin's rows and its least and
+largest p; only the bins that these leave open are settled row by row.
 What isn't rejected is reported, kind "random".
 
 Null and empty texts have no spans. Very long texts are one row; a doc_id may be null or repeated, each row counts alone.
@@ -28,8 +29,8 @@ HEX = r"[0-9a-f]{24,}"
 MIXED = r"^(?=.*[0-9])(?=.*[A-Za-z])"
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
-#: False-discovery rate of "structured", bins of the p value, and the edge of a length stratum.
-FDR, BINS, STRATUM = 0.05, 1000, 16
+#: False-discovery rate of "structured", bins per unit of ln p, and the edge of a length stratum.
+FDR, BINS, STRATUM = 0.05, 20, 16
 
 
 def spans(text, pattern: str, kind: int, good=None):
@@ -110,6 +111,23 @@ def battery(c: DataFrame) -> DataFrame:
 NONE = "array<struct<s:int,k:int,e:int>>"
 
 
+def cuts(c: DataFrame, fdr: float = FDR) -> DataFrame:
+    """c (enc, stratum, p) -> enc, stratum, cut: the largest p that Benjamini-Hochberg rejects. Strata without one are left out."""
+    c = c.select("enc", "stratum", "p", F.floor(F.ln("p") * BINS).alias("bin"))
+    h = c.groupBy("enc", "stratum", "bin").agg(F.count("*").alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    w = Window.partitionBy("enc", "stratum")
+    h = h.withColumn("rank", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
+    whole = F.col("hi") <= fdr * F.col("rank") / F.col("all")
+    h = h.withColumn("cut", F.max(F.when(whole, F.col("hi"))).over(w))
+    # above that cut a row may pass where its bin's least p would pass at the bin's last rank
+    open_ = h.filter((F.col("lo") <= fdr * F.col("rank") / F.col("all")) & (F.col("cut").isNull() | (F.col("lo") > F.col("cut"))))
+    rows = c.join(open_.select("enc", "stratum", "bin", (F.col("rank") - F.col("n")).alias("below"), "all"), ["enc", "stratum", "bin"])
+    rank = F.col("below") + F.count("*").over(Window.partitionBy("enc", "stratum", "bin").orderBy("p"))
+    rows = rows.withColumn("rank", rank).filter(F.col("p") <= fdr * F.col("rank") / F.col("all"))
+    every = h.filter("cut IS NOT NULL").select("enc", "stratum", "cut").unionByName(rows.select("enc", "stratum", F.col("p").alias("cut")))
+    return every.groupBy("enc", "stratum").agg(F.max("cut").alias("cut"))
+
+
 def scanned(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """docs with doc_id and text -> (row, doc_id, base, spans), arrays of (s, k, e) by start, then kind. row is a hash of
     doc_id and text. The texts are read once; what follows holds spans and candidates only."""
@@ -122,12 +140,8 @@ def scanned(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     c = d.select("row", F.explode("cand").alias("c")).distinct()
     c = c.select("row", F.col("c.s").alias("s"), F.col("c.e").alias("e"), F.regexp_replace("c.m", "=+$", "").alias("v"))
     c = battery(c).withColumn("stratum", F.floor(F.log2(F.col("length") / STRATUM) * 2))
-    c = written(c.withColumn("bin", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1))).drop("v", "p"), "secret-candidates")
-    h = c.groupBy("enc", "stratum", "bin").agg(F.count("*").alias("n"))  # at most BINS rows per stratum
-    w = Window.partitionBy("enc", "stratum")
-    h = h.withColumn("rank", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    cut = h.filter((F.col("bin") + 1) / BINS <= fdr * F.col("rank") / F.col("all")).groupBy("enc", "stratum").agg(F.max("bin").alias("cut"))
-    c = c.join(cut, ["enc", "stratum"], "left").filter(F.col("bin") > F.coalesce("cut", F.lit(-1)))
+    c = written(c.drop("v"), "secret-candidates")
+    c = c.join(cuts(c, fdr), ["enc", "stratum"], "left").filter(F.col("p") > F.coalesce("cut", F.lit(-1.0)))
     one = F.struct(F.col("s"), F.lit(3).alias("k"), F.col("e"))
     added = c.groupBy("row").agg(F.collect_list(one).alias("added"))
     every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(NONE))))
