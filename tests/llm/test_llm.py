@@ -283,6 +283,18 @@ def test_warc(spark):
         warc.chain(np.array([0, 10]), np.array([10, 25]), 20)
 
 
+def test_warc_long_header(spark):
+    rows = [(1, "u", "first"), (2, "http://long/" + "a" * 100_000, "second"), (3, "é" * 20_000, "third")]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for q in (p, p.coalesce(1), p.filter("page_id = 2")):
+        got = {r["page_id"]: r["payload_bytes"] for r in warc.read(spark, warc.write(q, work_dir(spark, "w"))).collect()}
+        assert got == {r["page_id"]: len(r["html"]) for r in q.collect()}
+    path_ = work_dir(spark, "w") + "/junk.warc"
+    n = warc.put_file(path_, [b"no record"])
+    with pytest.raises(Exception, match="breaks off"):
+        warc.read(spark, [(path_, n)]).count()
+
+
 def test_similar(docs):
     low = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
     sets = []

@@ -5,9 +5,9 @@ revisit records that refer to it and hold no payload. Rows of one page_id and pa
 files of at most FILE bytes (or one record), under a private name first.
 
 Reading: tasks scan blocks of the files for the magic and emit (offset, successor's offset) of everything that parses as a
-record header, magic within payloads included. Per file, pointer jumping from offset 0 keeps the records on the chain:
+record header, magic within payloads included; where a header's end isn't within the block, the task reads on. Per file, pointer jumping from offset 0 keeps the records on the chain:
 in each round the reached set takes one jump and the jumps double, so a chain of n records needs log2(n) rounds over
-arrays. A file whose chain doesn't end at its last byte is refused. A file's candidates are bounded by its size.
+arrays. A file whose chain doesn't end at its last byte is refused, one without candidates too. A file's candidates are bounded by its size.
 
 A null html is an empty payload, a null url is the empty one; a null page_id is written as such, and is never the largest
 unless all are null. An empty table gives no files and no rows.
@@ -82,12 +82,22 @@ def write(pages: DataFrame, uri: str, least: int = 0) -> list[tuple[str, int]]:
 _length = re.compile(rb"\r\ncontent-length: *(\d+)\r\n", re.I)
 
 
-def candidates(data: bytes, at: int, upto: int) -> list[tuple[int, int]]:
-    """(offset, successor) for each header that begins in data before `upto`; data begins at offset `at` of the file."""
-    out, i = [], data.find(MAGIC)
+def candidates(data: bytes, at: int, upto: int, more=lambda: b"") -> list[tuple[int, int]]:
+    """(offset, successor) for each header that begins in data before `upto`; data begins at offset `at` of the file, and
+    more() gives the bytes that follow, none at the file's end. A header may be of any length."""
+    out, i, end, m = [], data.find(MAGIC), -1, None
     while 0 <= i < upto:
-        end = data.find(b"\r\n\r\n", i, i + HEADER)
-        m = _length.search(data, i, end + 2) if end >= 0 else None
+        if end < i:
+            end = data.find(b"\r\n\r\n", i)
+            while end < 0 and (next_ := more()):
+                seen = max(i, len(data) - 3)
+                data += next_
+                end = data.find(b"\r\n\r\n", seen)
+            if end < 0:
+                break
+            m = _length.search(data, i, end + 2)
+        elif m and m.start() < i:
+            m = _length.search(data, i, end + 2)
         if m:
             out.append((at + i, at + end + 4 + int(m[1]) + 4))
         i = data.find(MAGIC, i + 1)
@@ -133,11 +143,14 @@ def boundaries(spark, files: list[tuple[str, int]]) -> DataFrame:
                 fs, p = open_fs(path)
                 with fs.open_input_file(p) as f:
                     f.seek(at)
-                    found = candidates(f.read(BLOCK + HEADER), at, BLOCK)
+                    found = candidates(f.read(BLOCK + HEADER), at, BLOCK, lambda f=f: f.read(BLOCK))
+                if at == 0:
+                    found.append((-1, -1))  # stands for the file, so that one without candidates is seen
                 yield pa.RecordBatch.from_pydict({"path": pa.array([path] * len(found), pa.string()), "size": pa.array([size] * len(found), pa.int64()), "offset": pa.array([x for x, _ in found], pa.int64()), "successor": pa.array([y for _, y in found], pa.int64())})
 
     def keep(pdf):
-        ok = chain(pdf["offset"].to_numpy(), pdf["successor"].to_numpy(), int(pdf["size"].iloc[0]))
+        size, pdf = int(pdf["size"].iloc[0]), pdf[pdf["offset"] >= 0]
+        ok = chain(pdf["offset"].to_numpy(), pdf["successor"].to_numpy(), size)
         return pdf.loc[ok, ["path", "offset", "successor"]].sort_values("offset")
 
     found = blocks.repartition(n, "path", "at").mapInArrow(scan, "path string, size long, offset long, successor long")
