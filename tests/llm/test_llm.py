@@ -321,6 +321,16 @@ def test_similar(docs):
     assert similar.linked(empty(docs)).count() == 0
 
 
+def test_keep_one(spark):
+    """One row of each group of near copies, also where rows of one doc_id hold different texts."""
+    a, b, c = ("alpha beta gamma delta", "one two three four", "red green blue white")
+    rows = [(1, a), (1, b), (2, a), (3, b), (3, c), (4, c), (1, a), (5, ""), (5, ""), (6, None), (None, c), (None, "only with a null id")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter([(1, a), (1, b), (3, c), (5, ""), (5, ""), (6, None), (None, "only with a null id")])
+    assert Counter(map(tuple, similar.keep_one(d).collect())) == want
+    assert similar.keep_one(empty(d)).count() == 0
+
+
 def test_mixing(docs):
     from pyspark.sql import functions as F
 

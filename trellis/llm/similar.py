@@ -27,7 +27,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, words, written
+from .common import n_words, table, words, written
 
 SMALL, BLOCK = 8, 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,14 +99,24 @@ def _small_pairs(small: DataFrame, b: int) -> DataFrame:
     return j.select("a", "b", "o").distinct()
 
 
+def row_key(docs: DataFrame):
+    """Column: the row's doc_id and text as one hash."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, n_similar, component_id."""
+    return linked_rows(docs).drop("row", "comp")
+
+
+def linked_rows(docs: DataFrame) -> DataFrame:
+    """The same with row, the row_key, and comp, the component, null for documents without shingles."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sh = F.col("sh")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingles(F.col("text")).alias("sh"))
-    d = d.select("doc_id", F.size(sh).alias("n"), F.xxhash64(F.array_sort(sh)).alias("cls"), "sh")
-    members = written(d.select("doc_id", "n", "cls", F.when(F.col("n") <= SMALL, sh).alias("sh")), "sets")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), shingles(F.col("text")).alias("sh"))
+    d = d.select("doc_id", "row", F.size(sh).alias("n"), F.xxhash64(F.array_sort(sh)).alias("cls"), "sh")
+    members = written(d.select("doc_id", "row", "n", "cls", F.when(F.col("n") <= SMALL, sh).alias("sh")), "sets")
     classes = written(members.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("sh").alias("sh")), "classes")
 
     # 1. shingles of two classes or more, back at their class, rarest first
@@ -143,10 +153,10 @@ def linked(docs: DataFrame) -> DataFrame:
     mine = classes.select("cls", "rep", "copies").join(comp.withColumnRenamed("node", "cls"), "cls", "left").join(near, "cls", "left")
     mine = written(mine.withColumn("comp", F.coalesce("comp", "cls")), "class-links")
     ids = mine.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of = mine.join(ids, "comp").select("cls", "component_id", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_similar"))
-    j = members.select("doc_id", "n", "cls").join(of, "cls", "left")
+    of = mine.join(ids, "comp").select("cls", "comp", "component_id", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_similar"))
+    j = members.select("doc_id", "row", "n", "cls").join(of, "cls", "left")
     empty = F.col("n") == 0
-    return j.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(empty, 0).otherwise(F.col("n_similar")).cast("long").alias("n_similar"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return j.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(empty, 0).otherwise(F.col("n_similar")).cast("long").alias("n_similar"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row", "comp")
 
 
 def _verified(pairs: DataFrame, lists: DataFrame, parts: int) -> DataFrame:
@@ -178,12 +188,10 @@ def op9_similar_documents(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest doc_id; documents without shingles all stay. Keeps docs' columns.
-
-    Of repeated rows of the doc_id that stays, one stays: that with the smallest text hash.
-    """
-    at = linked(docs.select("doc_id", "text"))
-    stay = at.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    kept = docs.join(stay, docs["doc_id"] == F.col("_id"), "left_semi").withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """One row of each component, that with the smallest doc_id (a null one last), of these that with the smallest row
+    key; rows without shingles all stay. Keeps docs' columns."""
+    at = linked_rows(docs.select("doc_id", "text")).filter("comp IS NOT NULL")
+    best = at.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    d = docs.withColumn("_row", row_key(docs))
+    kept = d.join(best.select(F.col("best.row").alias("_row")), "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.select(*docs.columns).unionByName(docs.filter(n_words(F.col("text")) == 0))
