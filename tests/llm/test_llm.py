@@ -264,6 +264,68 @@ def test_sniffing(spark):
     assert [r["true_type"] for r in media.sniffed(df).collect()] == ["image/png", "text/plain", None]
 
 
+def crc_bits(data, poly, bits):
+    x = 0
+    for b in data:
+        x ^= b << bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ (poly if x >> bits - 1 else 0)) & (1 << bits) - 1
+    return x.to_bytes(bits // 8, "big")
+
+
+def flac(values, samples):
+    """A mono 16-bit FLAC of one frame of 192 samples for each list of values, verbatim or Rice codes in turn, with a padding block."""
+    info = bytes.fromhex("00c000c0000000000000") + (44100 << 44 | 15 << 36 | samples).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC" + b"\x00\x00\x00\x22" + info + b"\x81\x00\x00\x05" + bytes(5)
+    for i, v in enumerate(values):
+        head = bytes([0xFF, 0xF8, 0x19, 0x08]) + chr(i).encode()
+        head += crc_bits(head, 0x07, 8)
+        if i % 2:  # residuals of a fixed predictor of order 0, Rice parameter 2
+            bits = "00" + "0000" + "0010" + "".join("0" * (x % 37) + "1" + f"{x % 4:02b}" for x in v)
+            bits += "0" * (-len(bits) % 8)
+            frame = head + b"\x10" + int(bits, 2).to_bytes(len(bits) // 8, "big")
+        else:
+            frame = head + b"\x02" + b"".join(x.to_bytes(2, "big") for x in v)
+        out += frame + crc_bits(frame, 0x8005, 16)
+    return out
+
+
+def test_sniffing_to_the_end():
+    """FLAC, PDF and zip with bytes before and behind: the whole file is carved, not a first part."""
+    import io
+    import zipfile
+
+    r = random.Random(3)
+    values = [[r.randrange(65536) for _ in range(192)] for _ in range(150)]
+    for samples in (192 * 150, 0):
+        f = flac(values, samples)
+        assert media.sniff(b"ab" + f + b"behind" * 9) == [("flac", 2, len(f))]
+    assert media.sniff(flac(values, 192 * 150)[:-9]) == []
+
+    def pdf(parts, linear=False):
+        out = b"%PDF-1.4\n"
+        if linear:
+            out += b"xref\n0 1\ntrailer <<>>\nstartxref\n0\n%%EOF\n"
+        for p in parts:
+            out += b"1 0 obj\n" + p + b"\nendobj\n"
+            out += b"xref\n0 1\ntrailer <<>>\nstartxref\n%d\n%%%%EOF" % len(out) + b"\n"
+        return out[:-1]
+
+    for x in (pdf([b"a"]), pdf([b"a", b"b" * 99, b"c"]), pdf([b"body" * 50], linear=True)):
+        other = pdf([b"other", b"file"])
+        assert media.sniff(b"--" + x + b"\nnoise %%EOF " + other) == [("pdf", 2, len(x)), ("pdf", 2 + len(x) + 13, len(other))]
+
+    def stored(name, data):
+        b = io.BytesIO()
+        with zipfile.ZipFile(b, "w", zipfile.ZIP_STORED) as z:
+            z.writestr(name, data)
+        return b.getvalue()
+
+    inner = stored("a.txt", b"text")
+    outer = stored("in.zip", inner)
+    assert media.sniff(b"-" + outer + b"behind") == [("zip", 1, len(outer)), ("zip", 1 + outer.index(inner), len(inner))]
+
+
 def test_warc(spark):
     trap = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
     rows = [(1, "u", "same"), (2, "http://é\r\nx", "same"), (3, None, None), (4, "v", ""), (5, "w", trap), (6, "x", "é" * 3000), (7, "y", trap * 3), (7, "y", trap * 3), (None, "z", "alone")]

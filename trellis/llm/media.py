@@ -12,6 +12,7 @@ or repeated doc_id are rows like others; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -122,15 +123,33 @@ def _bmp(d, o):
 
 def _zip(d, o):
     end = d.find(b"PK\x05\x06", o)
-    if end < 0 or end + 22 > len(d):
-        return None
-    size, at, note = struct.unpack_from("<IIH", d, end + 12)
-    return ("zip", end + 22 + note - o) if at + size == end - o and end + 22 + note <= len(d) else None
+    while 0 <= end <= len(d) - 22:  # the first may be that of a zip stored within
+        size, at, note = struct.unpack_from("<IIH", d, end + 12)
+        if at + size == end - o and end + 22 + note <= len(d):
+            return "zip", end + 22 + note - o
+        end = d.find(b"PK\x05\x06", end + 1)
+    return None
+
+
+_startxref = re.compile(rb"startxref\s+(\d{1,15})\s+%%EOF")
+_xref = re.compile(rb"\s*(?:xref|\d+\s+\d+\s+obj)\b")
 
 
 def _pdf(d, o):
-    end = d.find(b"%%EOF", o)
-    return ("pdf", end + 5 - o) if end >= 0 and d.find(b"startxref", o, end) >= 0 else None
+    """Up to the last end mark whose offset of the cross references, from o, holds: there is one per update, and one near
+    the start of a linearized file. Where none holds, up to the last end mark before the next file's header."""
+    last = None
+    for m in _startxref.finditer(d, o):
+        at = o + int(m[1])
+        if o < at < m.start() and _xref.match(d, at):
+            last = m.end()
+    if last is None:
+        first = _startxref.search(d, o)
+        if first is None:
+            return None
+        after = d.find(b"%PDF-", first.end())
+        last = max(m.end() for m in _startxref.finditer(d, o, after if after >= 0 else len(d)))
+    return "pdf", last - o
 
 
 def _ogg(d, o):
@@ -144,11 +163,136 @@ def _ogg(d, o):
     return ("ogg", at - o) if at > o else None
 
 
-def _flac(d, o):
-    at = o + 4
-    if at + 4 > len(d) or d[at] & 0x7F or int.from_bytes(d[at + 1 : at + 4], "big") != 34:
+def _crc_table(poly: int, bits: int) -> list[int]:
+    out = []
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ (poly if x >> bits - 1 else 0)) & (1 << bits) - 1
+        out.append(x)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_header(d, at):
+    """(length, samples, number) of the FLAC frame header at `at`, by its CRC-8; None if there is none. The number is that
+    of the frame, or of its first sample where block sizes vary."""
+    if at + 6 > len(d) or d[at] != 0xFF or d[at + 1] & 0xFE != 0xF8 or d[at + 3] & 1:
+        return None
+    size, rate = d[at + 2] >> 4, d[at + 2] & 15
+    if size == 0 or rate == 15 or d[at + 3] >> 4 > 10 or d[at + 3] >> 1 & 7 == 3:
+        return None
+    lead = 8 - (d[at + 4] ^ 0xFF).bit_length()  # ones that the coded number begins with
+    if lead in (1, 8):
         return None
-    return ("flac", 42) if at + 38 <= len(d) else None
+    k = max(1, lead)
+    number = d[at + 4] & (0x7F >> lead)
+    for x in d[at + 5 : at + 4 + k]:
+        if x & 0xC0 != 0x80:
+            return None
+        number = number << 6 | x & 0x3F
+    p = at + 4 + k
+    end = p + (size in (6, 7)) + (size == 7) + (rate >= 12) + (rate > 12)
+    if end >= len(d):
+        return None
+    crc = 0
+    for x in d[at:end]:
+        crc = _CRC8[crc ^ x]
+    if crc != d[end]:
+        return None
+    if size in (6, 7):
+        samples = int.from_bytes(d[p : p + size - 5], "big") + 1
+    else:
+        samples = 192 if size == 1 else 576 << size - 2 if size < 6 else 256 << size - 8
+    return end + 1 - at, samples, number
+
+
+def _flac_end(d, at, n, samples, depth):
+    """The end of the FLAC frame at `at` with a header of n bytes, by walking its subframes, if its CRC-16 holds."""
+    channels = d[at + 3] >> 4
+    depth = (depth, 8, 12, 0, 16, 20, 24, 32)[d[at + 3] >> 1 & 7]
+    count = channels + 1 if channels < 8 else 2
+    most = 4 * count * (samples * (depth + 1) // 8 + 64) + 4096
+    bits = bin(int.from_bytes(b"\1" + d[at + n : at + n + most], "big"))[3:]
+    i = 0
+
+    def take(k):
+        nonlocal i
+        i += k
+        if i > len(bits):
+            raise ValueError
+        return int(bits[i - k : i] or "0", 2)
+
+    def zeros():
+        nonlocal i
+        a, i = i, bits.index("1", i) + 1  # raises ValueError where there is none
+        return i - a - 1
+
+    try:
+        for c in range(count):
+            b = depth + (channels in (8, 10) and c == 1 or channels == 9 and c == 0)
+            pad, kind, wasted = take(1), take(6), take(1)
+            b -= zeros() + 1 if wasted else 0
+            if pad or b < 1:
+                return None
+            if kind < 2:
+                take(b * (samples if kind else 1))
+                continue
+            order = kind - 8 if 8 <= kind <= 12 else kind - 31 if kind >= 32 else None
+            if order is None or order > samples:
+                return None
+            take(b * order)
+            if kind >= 32:
+                precision = take(4) + 1
+                take(5 + precision * order)
+            method, parts = take(2), take(4)
+            if method > 1:
+                return None
+            for part in range(1 << parts):
+                k = (samples >> parts) - (0 if part else order)
+                rice = take(4 + method)
+                if rice == (31 if method else 15):
+                    take(take(5) * max(k, 0))
+                    continue
+                for _ in range(k):
+                    zeros()
+                    take(rice)
+    except ValueError:
+        return None
+    end = at + n + (i + 7) // 8 + 2
+    if end > len(d):
+        return None
+    crc = 0
+    for x in d[at:end]:
+        crc = (crc << 8 & 0xFF00) ^ _CRC16[crc >> 8 ^ x]
+    return None if crc else end
+
+
+def _flac(d, o):
+    """All metadata blocks, then frames, as many as the number of samples says; where it says none, as many as follow."""
+    at, last, total, depth = o + 4, False, None, 0
+    while not last:
+        if at + 4 > len(d):
+            return None
+        last, kind, n = bool(d[at] & 0x80), d[at] & 0x7F, int.from_bytes(d[at + 1 : at + 4], "big")
+        if kind == 127 or (total is None) != (kind == 0) or kind == 0 and n != 34 or at + 4 + n > len(d):
+            return None
+        if kind == 0:
+            depth = ((d[at + 16] & 1) << 4 | d[at + 17] >> 4) + 1
+            total = int.from_bytes(d[at + 17 : at + 22], "big") & (1 << 36) - 1
+        at += 4 + n
+    done, number = 0, 0
+    while not total or done < total:
+        head = _flac_header(d, at)
+        end = _flac_end(d, at, head[0], head[1], depth) if head and head[2] == number else None
+        if end is None:
+            return None if total else ("flac", at - o)
+        done += head[1]
+        number += head[1] if d[at + 1] & 1 else 1
+        at = end
+    return "flac", at - o
 
 
 def _gzip(d, o):
