@@ -155,3 +155,8 @@ def test_roster(spark, name):
     df = roster.QUERIES[name](spark, SF).select(*r.columns)
     fix = lambda rows: sorted((tuple(round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in row) for row in rows), key=str)
     assert fix(r.fetchall()) == fix(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize("name", ["expand_both_all", "expand_both_same_label_all", "expand_untyped_all", "with_distinct_all", "cartesian_all", "varlen_0_1_all", "varlen_1_2_all"])
+def test_roster_whole_tables(spark, name):
+    test_roster(spark, name)

@@ -111,6 +111,14 @@ CYPHER: dict[str, tuple[str, str | None]] = {
     "varlen_0_1": ("MATCH (p:part {p_partkey: 7})-[:co_bought*0..1]->(q) RETURN q.p_partkey AS q", f"WITH {_CO} SELECT p2 AS q FROM co WHERE p1 = 7 UNION ALL SELECT 7"),
     "varlen_unbounded": ("MATCH (n:nation {n_nationkey: 1})-[:part_of*]->(x) RETURN x.r_name AS r", "SELECT r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 1"),
     "varlen_distinct": ("MATCH (p:part {p_partkey: 7})-[:co_bought*1..2]-(q) RETURN DISTINCT q.p_partkey AS q", f"{_WALK2} SELECT DISTINCT q FROM w"),
+    # the operators above over whole tables, from all start vertices
+    "expand_both_all": ("MATCH (s:supplier)-[:supplies]-(p) RETURN p.p_partkey AS p, s.s_name AS s", "SELECT l_partkey AS p, s_name AS s FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"),
+    "expand_both_same_label_all": ("MATCH (p:part)-[:co_bought]-(q) RETURN p.p_partkey AS p, q.p_partkey AS q", f"WITH {_CO} SELECT s AS p, d AS q FROM cb"),
+    "expand_untyped_all": ("MATCH (s:supplier)-->(x) RETURN s.s_suppkey AS s, x.label AS label, count(x) AS n", "SELECT s, label, count(*) AS n FROM (SELECT l_suppkey AS s, 'part' AS label FROM lineitem UNION ALL SELECT s_suppkey, 'nation' FROM supplier) GROUP BY 1, 2"),
+    "with_distinct_all": ("MATCH (p:part)-[:co_bought]-(q) WITH DISTINCT q MATCH (q)<-[:contains]-(o) RETURN q.p_partkey AS q, count(DISTINCT o) AS n", f"WITH {_CO} SELECT d AS q, count(DISTINCT l_orderkey) AS n FROM (SELECT DISTINCT d FROM cb) JOIN lineitem ON l_partkey = d GROUP BY 1"),
+    "cartesian_all": ("MATCH (r:region), (n:nation) RETURN r.r_name AS r, n.n_name AS n", "SELECT r_name AS r, n_name AS n FROM region, nation"),
+    "varlen_0_1_all": ("MATCH (p:part)-[:co_bought*0..1]->(q) RETURN p.p_partkey AS p, q.p_partkey AS q", f"WITH {_CO} SELECT p1 AS p, p2 AS q FROM co UNION ALL SELECT p_partkey, p_partkey FROM part"),
+    "varlen_1_2_all": ("MATCH (p:part)-[:co_bought*1..2]-(q) RETURN q.p_partkey AS q, count(q) AS n", f"WITH {_CO}, w AS (SELECT d AS q FROM cb UNION ALL SELECT y.d FROM cb x JOIN cb y ON x.d = y.s) SELECT q, count(*) AS n FROM w GROUP BY 1"),
     "multi_path": ("MATCH (c:customer)-[:placed]->(o)-[:contains]->(p), (c)-[:lives_in]->(n)-[:part_of]->(r) WHERE p.p_size = 5 RETURN r.r_name AS r, count(o) AS n", "SELECT r_name AS r, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE p_size = 5 GROUP BY 1"),
     "consecutive_match": ("MATCH (s:supplier)-[:based_in]->(n) MATCH (n)-[:part_of]->(r {r_name: 'ASIA'}) RETURN s.s_name AS s, n.n_name AS n", "SELECT s_name AS s, n_name AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"),
     "cartesian": ("MATCH (r:region), (n:nation) WHERE n.n_nationkey < 3 RETURN r.r_name AS r, n.n_name AS n", "SELECT r_name AS r, n_name AS n FROM region, nation WHERE n_nationkey < 3"),
