@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -40,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a folder of this machine only where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="trellis-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -53,11 +56,52 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet below the shared folder and read it again. Lost executors lose nothing of it."""
-    spark = df.sparkSession
-    path = work_dir(spark, name)
+    """Cut lineage: write df as Parquet below the shared folder and read it again. Lost executors lose nothing of it.
+
+    The plan that made it is garbage then. Collecting that at once lets Spark's cleaner delete its shuffle files, which
+    otherwise stay on the executors' disks until the driver runs short of memory.
+    """
+    spark, path, schema = df.sparkSession, work_dir(df.sparkSession, name), df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+
+    def again(spark: SparkSession) -> DataFrame:
+        d = spark.read.schema(schema).parquet(path)
+        d._at, d._again = path, again
+        return d
+
+    return again(spark)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by `written` that nothing reads any more."""
+    for d in tables:
+        jvm = d.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(d._at)
+        at.getFileSystem(d.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def apart(spark: SparkSession, conf: dict[str, str]) -> SparkSession:
+    """A session of the same application with spark's SQL settings and those of conf; spark's own stay as they are."""
+    own = spark.newSession()
+    for k, v in {**spark.conf.getAll, **conf}.items():
+        if k.startswith("spark.sql.") and own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    return own
+
+
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
+def row_key(*cols: str):
+    """Column: 128 bits that stand for the values of cols, nulls included; the last one is a text."""
+    *ids, text = cols
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ids] + [F.when(F.col(text).isNull(), "0").otherwise("1")]
+    return F.unhex(F.md5(F.concat(F.concat_ws(":", *parts), F.coalesce(F.col(text), F.lit("")))))
 
 
 def open_fs(uri: str):
@@ -80,7 +124,12 @@ def put_file(uri: str, chunks) -> int:
         for c in chunks:
             out.write(c)
             n += len(c)
-    fs.move(part, path)
+    try:
+        fs.move(part, path)
+    except OSError:  # some filesystems don't rename onto a file: an earlier attempt of this task had finished
+        if fs.get_file_info(path).size != n:
+            raise
+        fs.delete_file(part)
     return n
 
 

@@ -24,10 +24,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_fs, put_file, table, work_dir
+from .common import open_fs, put_file, ship, table, work_dir, written
 
 MAGIC = b"WARC/1.0\r\n"
 FILE, BLOCK, HEADER = 32 << 20, 4 << 20, 64 << 10
+#: Revisits that may be broadcast.
+FEW = 500_000
 
 
 def record(page_id, url: str | None, payload: bytes, kind: str, refers_to, digest: str) -> bytes:
@@ -40,18 +42,25 @@ def record(page_id, url: str | None, payload: bytes, kind: str, refers_to, diges
 
 
 def typed(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Adds kind and refers_to. Only digests are grouped, with partial aggregation, so a payload of a third of all rows is fine."""
+    """page_id, url, payload and refers_to. Digests are grouped by partial aggregation; payloads stay where they are while
+    the revisits are few enough to be broadcast, else rows meet by digest and page_id, so a payload of a third of all rows
+    is spread."""
     p = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    p = p.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
-    best = p.groupBy("sha", "n").agg(F.max("page_id").alias("best"))
-    p = p.join(best, ["sha", "n"])
+    p = p.withColumn("sha", F.unhex(F.sha1("payload")))
+    ids = p.select("sha", F.octet_length("payload").alias("n"), "page_id")
+    best = ids.groupBy("sha").agg(F.max("page_id").alias("best"), F.count("*").alias("c")).filter("c > 1").drop("c")
     again = (F.col("n") >= least) & F.coalesce(F.col("page_id") != F.col("best"), F.col("best").isNotNull())
-    return p.select("page_id", "url", "payload", F.when(again, F.col("best")).alias("refers_to"))
+    refs = written(ids.distinct().join(best, "sha").filter(again).select(F.col("sha").alias("_s"), F.col("page_id").alias("_p"), F.col("best").alias("refers_to")), "warc-revisits")
+    small = refs.count() <= FEW  # at most 50 bytes a row
+    j = p.join(F.broadcast(refs) if small else refs, (F.col("sha") == F.col("_s")) & F.col("page_id").eqNullSafe(F.col("_p")), "left")
+    return j.select("page_id", "url", "payload", "refers_to")
 
 
 def write(pages: DataFrame, uri: str, least: int = 0) -> list[tuple[str, int]]:
     """Write an archive of pages (page_id, url, html) below uri; returns its files and their sizes, one line per FILE bytes."""
 
+    ship(pages.sparkSession)
+
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -76,7 +85,8 @@ def write(pages: DataFrame, uri: str, least: int = 0) -> list[tuple[str, int]]:
             flush()
         yield pa.RecordBatch.from_pydict({"path": pa.array([f for f, _ in files], pa.string()), "size": pa.array([n for _, n in files], pa.int64())})
 
-    return [(r["path"], r["size"]) for r in typed(pages, least).mapInArrow(run, "path string, size long").orderBy("path").collect()]
+    rows = typed(pages, least).mapInArrow(run, "path string, size long").collect()  # not sorted on the cluster: that would write twice
+    return sorted((r["path"], r["size"]) for r in rows)
 
 
 _length = re.compile(rb"\r\ncontent-length: *(\d+)\r\n", re.I)
@@ -131,6 +141,7 @@ def chain(offsets: np.ndarray, successors: np.ndarray, size: int) -> np.ndarray:
 
 def boundaries(spark, files: list[tuple[str, int]]) -> DataFrame:
     """path, offset, successor of each record of the files."""
+    ship(spark)
     d = spark.createDataFrame(files, "path string, size long")
     blocks = d.select("path", "size", F.explode(F.expr(f"sequence(0L, greatest(size - 1, 0L), {BLOCK}L)")).alias("at"))
     n = max(1, min(sum(-(-s // BLOCK) for _, s in files), 4 * spark.sparkContext.defaultParallelism * 8))
