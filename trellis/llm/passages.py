@@ -1,37 +1,42 @@
 """Substring dedup: words of repeated 50-word windows go, but for the document with the smallest doc_id.
 
-1. Winnowing: of the 26 phrases of 25 words in each window of 50, the one with the smallest hash is its anchor. Equal
-   windows have equal anchors, so a window that recurs has an anchor that recurs in two different texts. About 2 in 27
-   words start an anchor, and only these hashes are shuffled.
-2. Recurring anchors go back to the texts that hold them. Texts are streamed in shards of SHARD characters; each shard
-   compiles its recurring phrases (their first HEAD words) into an Aho-Corasick automaton, which locates every
-   occurrence; the phrase's hash at that place settles whether it is one.
-3. Windows whose anchor recurs are confirmed by a 128-bit digest of their words, grouped to the smallest doc_id, and each
-   window that starts in a smaller one too is marked. Its words are removed from the text.
-
-Exact copies share one text: it is searched once, under its smallest doc_id, and of the others every word goes if there
-are 50. Groups of copies and hot passages are pre-aggregated (min and max), never collected.
+1. Anchors: of the 26 phrases of 25 words in each window of 50, the one with the smallest hash. Equal windows have equal
+   anchors, so a window that recurs has an anchor that two different texts hold. About 2 in 27 words start an anchor.
+2. Recurring anchors are confirmed passages once their words have been fetched from their owner, the text with the
+   smallest number that holds them. They are sharded by owner, so a document meets few shards; an owner of more than
+   PASSAGES passages is spread over several shards, and a shard holds about PASSAGES of them.
+3. Each shard's passages are compiled into an Aho-Corasick automaton (of their first HEAD words; the rest is compared where
+   one is met), and the documents that hold an anchor of the shard are streamed through it: the passages of a shard come
+   first, then its documents, in one sorted stream, so no group is held in memory. A shard with more than CHARS
+   characters to stream is salted: its passages go to every salt, each document to one.
+4. Each window whose anchor the automaton has located is confirmed by a 128-bit digest of its words, grouped to the smallest
+   doc_id, and marked if it starts in a smaller one too. Its words are removed from the text.
+
+Texts of more than STRETCH characters are worked on in stretches that overlap by 49 words. Exact copies share one text: it is
+searched once, under its smallest doc_id, and of the others every word goes if there are 50. Groups of copies and hot
+passages are pre-aggregated (min and max), never collected.
 
 A null or empty text has no words. A text of fewer than 50 words has no window. A null doc_id is smaller than none and
-larger than none: the row keeps all words and takes none from others. Rows of one doc_id don't remove from each other.
+larger than none: the row keeps all words and takes none from others. Rows of one doc_id don't remove from each other. An
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 
 WINDOW, GRAM = 50, 25
-HEAD, SHARD = 6, 500_000
+HEAD, PASSAGES, CHARS, STRETCH = 6, 4000, 8_000_000, 1_000_000
 
 _B = pow(0x9E3779B97F4A7C15 | 1, 3, 2**64)
 _I = pow(_B, -1, 2**64)
-_T = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _pw = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -45,151 +50,239 @@ def _powers(n: int):
     return _pw[0][:n], _pw[1][:n]
 
 
-class Text:
-    """A text's words joined by one space, where each begins and ends, and hashes of its phrases."""
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-    def __init__(self, text: str):
-        self.words = text.encode().split()
-        self.n = len(self.words)
-        self.joined = b" ".join(self.words)
 
-    def prepare(self):
-        a = np.frombuffer(self.joined, np.uint8)
-        gap = np.flatnonzero(a == 32)
-        self.start = np.concatenate([[0], gap + 1])
-        self.end = np.append(gap, len(a))
-        pw, self.inv = _powers(len(a) + 1)
-        self.sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_T[a] * pw[:-1], dtype=np.uint64)])
-        return self
+class Stretch:
+    """Consecutive words of a text, the first of which has the number `at`."""
+
+    def __init__(self, words: list[bytes], at: int = 0):
+        self.words, self.n, self.at = words, len(words), at
 
     def phrases(self) -> np.ndarray:
         """Hash of each phrase of GRAM words."""
-        s, e = self.start[: self.n - GRAM + 1], self.end[GRAM - 1 :]
-        h = (self.sum[e] - self.sum[s]) * self.inv[s]
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
+        w = _mix((np.fromiter(map(zlib.crc32, self.words), np.uint64, self.n) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        pw, inv = _powers(self.n + 1)
+        s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * pw[:-1], dtype=np.uint64)])
+        return _mix((s[GRAM:] - s[:-GRAM]) * inv[: self.n - GRAM + 1])
 
     def anchor_of_window(self, h: np.ndarray) -> np.ndarray:
         w = WINDOW - GRAM + 1
         return np.lib.stride_tricks.sliding_window_view(h, w).argmin(1) + np.arange(len(h) - w + 1)
 
-    def digest(self, s: int) -> bytes:
-        return hashlib.blake2b(self.joined[self.start[s] : self.end[s + WINDOW - 1]], digest_size=16).digest()
+    def phrase(self, p: int) -> str:
+        return b" ".join(self.words[p : p + GRAM]).decode()
+
+    def digests(self, starts: list[int]) -> np.ndarray:
+        """Two 64-bit integers for each of the windows."""
+        joined = b" ".join(self.words)
+        begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, self.words), np.int64, self.n) + 1)]).tolist()
+        all_ = b"".join([hashlib.blake2b(joined[begin[s] : begin[s + WINDOW] - 1], digest_size=16).digest() for s in starts])
+        return np.frombuffer(all_, "<i8").reshape(-1, 2)
+
+
+def stretches(text: str, most: int = STRETCH):
+    """The stretches of a text that hold a window; windows lie in one of them each."""
+    if len(text) <= most:
+        words = text.encode().split()
+        if len(words) >= WINDOW:
+            yield Stretch(words)
+        return
+    data, i, carry, at = text.encode(), 0, [], 0
+    while i < len(data):
+        j = i + most
+        while j < len(data) and data[j] not in b" \t\n\r\x0b\x0c":
+            j += 1
+        words = carry + data[i:j].split()
+        if len(words) >= WINDOW:
+            yield Stretch(words, at)
+            at += len(words) - WINDOW + 1
+            words = words[len(words) - WINDOW + 1 :]
+        carry, i = words, j
+
+
+def slices(batches, rows: int = 500):
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, key, row, text -> h, doc_id, key, row; each anchor once per text."""
+    """doc_id, key, text -> h, tid (the key's first 64 bits), doc_id, key; each anchor once per text."""
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches, 2000):
             at, hs = [], []
-            for k, t in enumerate(b.column(3)):
-                x = Text(t.as_py())
-                if x.n >= WINDOW:
-                    h = x.prepare().phrases()
-                    h = np.unique(h[np.unique(x.anchor_of_window(h))])
+            for k, t in enumerate(b.column(2)):
+                found = []
+                for x in stretches(t.as_py()):
+                    h = x.phrases()
+                    found.append(h[np.unique(x.anchor_of_window(h))])
+                if found:
+                    h = np.unique(np.concatenate(found))
                     at.append(np.full(len(h), k))
                     hs.append(h.view(np.int64))
             if at:
-                at = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), *(b.column(k).take(at) for k in range(3))], ["h", "doc_id", "key", "row"])
+                tid = np.array([int.from_bytes(k.as_py()[:8], "big", signed=True) for k in b.column(1)])
+                at = np.concatenate(at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(tid[at]), *(b.column(k).take(pa.array(at)) for k in range(2))], ["h", "tid", "doc_id", "key"])
+
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "h long, tid long, doc_id long, key binary")
+
 
-    return docs.select("doc_id", "key", "row", "text").mapInArrow(run, "h long, doc_id long, key binary, row long")
+def fetched(owners: DataFrame) -> DataFrame:
+    """text, own (h and shard of the passages that it owns) -> shard, text: the passages' words."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def windows(docs: DataFrame) -> DataFrame:
-    """doc_id, row, text, hs (recurring anchors) -> w1, w2, doc_id, row, s for the windows whose anchor recurs."""
+        for b in slices(batches):
+            shards, texts = [], []
+            for t, own in zip(b.column(0), b.column(1)):
+                todo = {x["h"]: x["shard"] for x in own.as_py()}
+                for x in stretches(t.as_py()):
+                    h = x.phrases().view(np.int64)
+                    for p in np.flatnonzero(np.isin(h, np.fromiter(todo, np.int64, len(todo)))).tolist():
+                        shard = todo.pop(int(h[p]), None)
+                        if shard is not None:
+                            shards.append(shard)
+                            texts.append(x.phrase(p))
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(texts, pa.string())], ["shard", "text"])
 
-    def shard(ids, rows, texts, hs):
+    return owners.select("text", "own").mapInArrow(run, "shard int, text string")
+
+
+class Automaton:
+    """Locates passages: the automaton finds their first HEAD words, and the text there settles which one it is."""
+
+    def __init__(self, passages: list[str]):
         import ahocorasick
 
-        a, all_h, parsed = ahocorasick.Automaton(), set(), []
-        for t, own in zip(texts, hs):
-            x = Text(t).prepare()
-            h = x.phrases()
-            own = np.array(own, np.int64).view(np.uint64)
-            for p in np.flatnonzero(np.isin(h, own)).tolist():
-                a.add_word(" " + x.joined[x.start[p] : x.end[p + HEAD - 1]].decode() + " ", HEAD)
-            all_h.update(own.tolist())
-            parsed.append((x, h))
-        a.make_automaton()
-        known = np.array(sorted(all_h), np.uint64)
-        for i, row, (x, h) in zip(ids, rows, parsed):
-            text = " " + x.joined.decode() + " "
-            hits = np.fromiter((end for end, _ in a.iter(text)), np.int64)
-            # a hit ends at the space after its last word: the number of that word, then of the first
-            ends = np.cumsum(np.fromiter(map(len, text[1:-1].split(" ")), np.int64, x.n) + 1)
-            first = np.searchsorted(ends, hits) - HEAD + 1
-            first = first[(first >= 0) & (first < len(h))]
-            first = np.unique(first[np.isin(h[first], known)])
-            for s in np.flatnonzero(np.isin(x.anchor_of_window(h), first)).tolist():
-                d = x.digest(s)
-                yield int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), i, row, s
+        self.tails: dict[str, list[str]] = {}
+        for p in passages:
+            head = " " + " ".join(p.split(" ", HEAD)[:HEAD]) + " "
+            self.tails.setdefault(head, []).append(p + " ")
+        self.a = ahocorasick.Automaton()
+        for head, tails in self.tails.items():
+            self.a.add_word(head, (len(head), tails))
+        self.a.make_automaton()
+
+    def __call__(self, x: Stretch) -> np.ndarray:
+        """Numbers, in the stretch, of the words that begin a passage."""
+        if not self.tails:
+            return np.zeros(0, np.int64)
+        text = " " + b" ".join(x.words).decode() + " "
+        hits = [at for end, (n, tails) in self.a.iter(text) if any(text.startswith(p, at := end - n + 2) for p in tails)]
+        if not hits:
+            return np.zeros(0, np.int64)
+        words = text[1:-1].split(" ")
+        begin = np.cumsum(np.fromiter(map(len, words), np.int64, x.n) + 1)
+        return np.searchsorted(begin, np.unique(hits), "left") if len(hits) else np.zeros(0, np.int64)
+
+
+def located(stream: DataFrame) -> DataFrame:
+    """shard, salt, kind, text, key, doc_id, sorted by the first three; kind 0 is a passage, 1 a document. Gives w1, w2, doc_id,
+    key, s for the windows whose anchor is a passage of the shard."""
 
     def run(batches):
         import pyarrow as pa
 
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-        for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(4)]
-            i = 0
-            while i < len(cols[0]):
-                j, size = i, 0
-                while j < len(cols[0]) and (j == i or size + len(cols[2][j]) <= SHARD):
-                    size += len(cols[2][j])
-                    j += 1
-                rows = list(shard(*(c[i:j] for c in cols)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["w1", "w2", "doc_id", "row", "s"])
-                i = j
-
-    return docs.select("doc_id", "row", "text", "hs").mapInArrow(run, "w1 long, w2 long, doc_id long, row long, s int")
+        at, passages, a = None, [], None
+        ws, who, ss, n = [], [], [], 0
+
+        def out():
+            k = np.repeat(np.arange(len(who)), [len(s) for s in ss])
+            w = np.concatenate(ws)
+            ids = pa.array([i for i, _ in who], pa.int64()).take(pa.array(k))
+            keys = pa.array([x for _, x in who], pa.binary()).take(pa.array(k))
+            return pa.RecordBatch.from_arrays([pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), ids, keys, pa.array(np.concatenate(ss), pa.int32())], ["w1", "w2", "doc_id", "key", "s"])
+
+        for b in slices(batches):
+            for shard, salt, kind, text, key, doc_id in zip(*(b.column(k) for k in range(6))):
+                here, text = (shard.as_py(), salt.as_py()), text.as_py()
+                if here != at:
+                    at, passages, a = here, [], None
+                if kind.as_py() == 0:
+                    passages.append(text)
+                    continue
+                if a is None:
+                    a = Automaton(passages)
+                for x in stretches(text):
+                    first = a(x)
+                    if len(first):
+                        s = np.flatnonzero(np.isin(x.anchor_of_window(x.phrases()), first))
+                        if len(s):
+                            ws.append(x.digests(s.tolist()))
+                            who.append((doc_id.as_py(), key.as_py()))
+                            ss.append(s + x.at)
+                            n += len(s)
+                if n > 20_000:
+                    yield out()
+                    ws, who, ss, n = [], [], [], 0
+        if n:
+            yield out()
+
+    return stream.select("shard", "salt", "kind", "text", "key", "doc_id").mapInArrow(run, "w1 long, w2 long, doc_id long, key binary, s int")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, key, row, text -> doc_id, row, whole (all words go), starts (of the windows to remove)."""
+    """doc_id, key, text -> key, starts (of the windows to remove of the row with the smallest doc_id), first (that doc_id, null
+    where the text has one doc_id only: of the others every word goes)."""
     named = docs.filter(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * WINDOW - 1))
     t1 = written(anchors(named), "anchors")
-    hot = t1.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter(F.col("a") < F.col("b")).select("h")
-    held = t1.join(hot, "h").groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("r"), F.collect_set("h").alias("hs"))
-    held = held.select(F.col("r.doc_id").alias("doc_id"), F.col("r.row").alias("row"), "hs")
-    w = written(windows(named.select("doc_id", "row", "text").join(held, ["doc_id", "row"])), "windows")
+    hot = t1.groupBy("h").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter(F.col("a") < F.col("b"))
+    hot = written(hot.select("h", F.col("a").alias("owner")), "recurring")
+    shards = max(1, -(-hot.count() // PASSAGES))
+    large = hot.groupBy("owner").count().filter(F.col("count") > PASSAGES).select("owner", F.ceil(F.col("count") / PASSAGES).alias("subs"))
+    shard = F.pmod(F.xxhash64("owner", F.pmod("h", F.coalesce("subs", F.lit(1)))), F.lit(shards)).cast("int")
+    hot = hot.join(large, "owner", "left").select("h", "owner", shard.alias("shard"))
+    own = F.when(F.col("owner") == F.col("tid"), F.struct("h", "shard"))
+    held = t1.join(hot, "h").select("key", "doc_id", "shard", own.alias("own")).repartition("key")
+    held = held.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.collect_set("shard").alias("shards"), F.collect_set("own").alias("own"))
+    routed = written(named.select("doc_id", "key", "text").join(held, ["key", "doc_id"]), "routed")
+    discard(t1)
+    passages = written(fetched(routed.filter(F.size("own") > 0)), "passages")
+    each = routed.select(F.explode("shards").alias("shard"), "key", "doc_id", "text")
+    load = each.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / CHARS).cast("int").alias("salts"))
+    load = written(load, "salts")  # a row per shard
+    p = passages.distinct().join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "text", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"))
+    d = each.join(load, "shard").select("shard", F.pmod(F.xxhash64("key"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "text", "key", "doc_id")
+    w = written(located(p.unionByName(d).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")), "windows")
+    discard(routed, passages)
     first = w.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(F.col("first") < F.col("last")).drop("last")
     again = w.join(first, ["w1", "w2"]).filter(F.col("doc_id") > F.col("first"))
-    marked = again.groupBy("doc_id", "row").agg(F.collect_set("s").alias("starts"))
-    small = named.select("doc_id", "row", "key")
-    copies = small.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(F.col("first") < F.col("last"))
-    copies = small.join(copies, "key").filter(F.col("doc_id") > F.col("first")).select("doc_id", "row").distinct()
-    none = F.array().cast("array<int>")
-    both = marked.select("doc_id", "row", F.lit(False).alias("whole"), "starts").unionByName(copies.select("doc_id", "row", F.lit(True).alias("whole"), none.alias("starts")))
-    # one row per row of docs: a text that is a copy of a smaller doc_id's is never searched itself
-    return both
+    marked = written(again.select("key", "s").repartition("key").groupBy("key").agg(F.collect_set("s").alias("starts")), "marks")
+    discard(w)
+    copies = named.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(F.col("first") < F.col("last"))
+    return marked.join(copies.drop("last"), "key", "full")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), t.alias("text")).withColumn("key", F.unhex(F.md5("text"))).withColumn("row", F.xxhash64("doc_id", "text"))
+    return docs.select(F.col("doc_id").cast("long"), t.alias("text")).withColumn("key", F.unhex(F.md5("text")))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by one space)."""
     d = keyed(docs)
-    j = d.select("doc_id", "row", "text").join(repeats(d), ["doc_id", "row"], "left")
+    j = d.join(repeats(d), "key", "left").withColumn("whole", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             n, gone, sha, kept = [], [], [], []
-            for t, whole, starts in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for i, t, whole, starts in zip(*(b.column(k) for k in range(4))):
                 words = t.as_py().encode().split()
-                left = words
-                if whole and len(words) >= WINDOW:
-                    left = []
-                elif starts:
+                left, starts = words, starts.as_py()
+                if whole.as_py():
+                    left = [] if len(words) >= WINDOW else words
+                elif starts and i.is_valid:
                     edge = np.zeros(len(words) + 1, np.int32)
                     s = np.array(starts)
                     edge[s] += 1
