@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from ..llm.common import written
 from ..sources.graph import Edges
+from ..sources.shared import written
 
 
 def edge_rows(defs: list[Edges], way: str, src_labels: set[str], dst_labels: set[str], props: tuple[str, ...], name: str, with_type: bool = False) -> DataFrame | None:
