@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
@@ -12,12 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, shared_dir, work_dir, written  # noqa: F401
+
 #: A word is a maximal run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-_own: list[str] = []
-
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, so that a session started anywhere can run it."""
@@ -37,52 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of this machine only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="trellis-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        base = "file://" + _own[0]
-    return base.rstrip("/")
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh URI below the shared folder."""
-    return f"{shared_dir(spark)}/trellis/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet below the shared folder and read it again. Lost executors lose nothing of it.
-
-    The plan that made it is garbage then. Collecting that at once lets Spark's cleaner delete its shuffle files, which
-    otherwise stay on the executors' disks until the driver runs short of memory.
-    """
-    spark, path, schema = df.sparkSession, work_dir(df.sparkSession, name), df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    gc.collect()
-    spark._jvm.System.gc()
-
-    def again(spark: SparkSession) -> DataFrame:
-        d = spark.read.schema(schema).parquet(path)
-        d._at, d._again = path, again
-        return d
-
-    return again(spark)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by `written` that nothing reads any more."""
-    for d in tables:
-        jvm = d.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(d._at)
-        at.getFileSystem(d.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def apart(spark: SparkSession, conf: dict[str, str]) -> SparkSession:
     """A session of the same application with spark's SQL settings and those of conf; spark's own stay as they are."""
     own = spark.newSession()
