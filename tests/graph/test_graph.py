@@ -160,3 +160,53 @@ def test_roster(spark, name):
 @pytest.mark.parametrize("name", ["expand_both_all", "expand_both_same_label_all", "expand_untyped_all", "with_distinct_all", "cartesian_all", "varlen_0_1_all", "varlen_1_2_all"])
 def test_roster_whole_tables(spark, name):
     test_roster(spark, name)
+
+
+def test_loader_groups_and_labels(spark, tmp_path):
+    """Two groups of one label are united; rows without a label, or of another than the group's, are refused."""
+    (tmp_path / "a").write_text("x:id|name\n1|one\n")
+    (tmp_path / "b").write_text("x:id|name\n2|two\n")
+    (tmp_path / "c").write_text("x:id|kind:label\n3|p\n4|q\n")
+    (tmp_path / "d").write_text("x:id|kind:label\n5|p\n6|\n")
+    at = lambda n: f"{tmp_path}/{n}"
+    g = delimited.load(spark, [("p", [at("a")]), ("p", [at("b")])], [], {})
+    assert bag(Engine(g).run("MATCH (n:p) RETURN n.x AS x, n.name AS name")) == Counter([(1, "one"), (2, "two")])
+    assert set(delimited.load(spark, [(None, [at("c")])], [], {}).vertices) == {"p", "q"}
+    for groups in ([("p", [at("c")])], [(None, [at("d")])]):
+        with pytest.raises(QueryError):
+            delimited.load(spark, groups, [], {})
+
+
+def test_sums_of_text_are_refused(world):
+    e, _, _ = world
+    for q in ("sum(a.name)", "avg(a.name)"):
+        with pytest.raises(SemanticProblem):
+            e.run(f"MATCH (a:person) RETURN {q} AS s")
+
+
+def test_dropped_index_is_freed(spark):
+    g = PropertyGraph(spark).add_vertices("v", spark.range(20).withColumnRenamed("id", "k"), "k")
+    e = Engine(g)
+    e.run("CREATE INDEX ON :v(k)")
+    kept = g._cached["v", "k"]
+    assert kept.is_cached and e.run("MATCH (a:v) WHERE a.k < 3 RETURN a.k AS k").count() == 3
+    e.run("DROP INDEX ON :v(k)")
+    assert not kept.is_cached and e.run("MATCH (a:v) WHERE a.k < 3 RETURN a.k AS k").count() == 3
+
+
+def test_stored_edges_meet_by_either_end(spark):
+    from trellis.sources.graph import stored
+
+    pairs = [(1, 2), (1, 3), (2, 3), (3, 1)]
+    made = []
+
+    def rows():
+        if not made:
+            made.append(stored(spark.createDataFrame(pairs, "__src long, __dst long")))
+        return made[0]
+
+    v = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    e = Engine(PropertyGraph(spark).add_vertices("v", v, "id").add_stored_edges("to", "v", "v", rows))
+    assert not made
+    assert bag(e.run("MATCH (a:v)<-[:to]-(b) RETURN a.id AS a, b.id AS b")) == Counter((b, a) for a, b in pairs)
+    assert bag(e.run("MATCH (a:v)-[:to*2..2]->(b) RETURN a.id AS a, b.id AS b")) == Counter((a, d) for a, b in pairs for c, d in pairs if b == c)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import SemanticProblem
+
 Typed = tuple[Column, str]
 NUMBER = {"int", "float"}
 EPSILON = 1e-10
@@ -95,6 +97,8 @@ def aggregate(fn: str, x: Typed | None, distinct: bool) -> Typed:
         return (F.count_distinct(c) if distinct else F.count(c)), "int"
     if fn in ("min", "max"):
         return getattr(F, fn)(c), k
+    if k in ("string", "bool"):
+        raise SemanticProblem(f"{fn} of {k} values")
     if k not in NUMBER:
         return null(k)
     if fn == "sum":

@@ -30,7 +30,7 @@ def edge_rows(defs: list[Edges], way: str, src_labels: set[str], dst_labels: set
             s, d = ("__dst", "__src") if flip else ("__src", "__dst")
             own = [(F.col(p) if p in e.df.columns else F.lit(None)).alias(f"{name}__p_{p}") for p in props]
             kind = [F.lit(e.type).alias(f"{name}__type")] if with_type else []
-            parts.append(e.df.select(F.col(s).alias(f"{name}__s"), F.lit(a).alias(f"{name}__sl"), F.col(d).alias(f"{name}__d"), F.lit(b).alias(f"{name}__dl"), *own, *kind))
+            parts.append((e.back if flip else e.df).select(F.col(s).alias(f"{name}__s"), F.lit(a).alias(f"{name}__sl"), F.col(d).alias(f"{name}__d"), F.lit(b).alias(f"{name}__dl"), *own, *kind))
     return reduce(DataFrame.unionAll, parts) if parts else None
 
 

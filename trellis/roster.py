@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .engine import Engine
-from .sources.graph import PropertyGraph
+from .sources import delimited
+from .sources.graph import PropertyGraph, stored
+from .sources.shared import work_dir
 from .traversal import gt, traverse
 
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
@@ -39,11 +41,22 @@ def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     g.add_edges("based_in", "supplier", "nation", t("supplier"), "s_suppkey", "s_nationkey")
     g.add_edges("part_of", "nation", "region", t("nation"), "n_nationkey", "n_regionkey")
     g.add_edges("did", "customer", "event", t("events"), "user_id", "event_id")
-    a, b = (line.select(F.col("l_orderkey").alias(o), F.col("l_partkey").alias(p)).distinct() for o, p in (("o1", "p1"), ("o2", "p2")))
-    g.add_edges("co_bought", "part", "part", a.join(b, (F.col("o1") == F.col("o2")) & (F.col("p1") < F.col("p2"))).select("p1", "p2").distinct(), "p1", "p2")
+    g.add_stored_edges("co_bought", "part", "part", lambda: _co_bought(spark, line, sf_dir))
     return g
 
 
+_stored: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def _co_bought(spark: SparkSession, line: DataFrame, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of parts in one order, the smaller key first; derived and stored once per application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _stored:
+        a, b = (line.select(F.col("l_orderkey").alias(o), F.col("l_partkey").alias(p)).distinct() for o, p in (("o1", "__src"), ("o2", "__dst")))
+        _stored[key] = stored(a.join(b, (F.col("o1") == F.col("o2")) & (F.col("__src") < F.col("__dst"))).select("__src", "__dst").distinct())
+    return _stored[key]
+
+
 _CO = """co AS (SELECT DISTINCT a.l_partkey AS p1, b.l_partkey AS p2 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey),
  cb AS (SELECT p1 AS s, p2 AS d FROM co UNION ALL SELECT p2, p1 FROM co)"""
 _WALK2 = f"WITH {_CO}, w AS (SELECT d AS q FROM cb WHERE s = 7 UNION ALL SELECT y.d FROM cb x JOIN cb y ON x.d = y.s WHERE x.s = 7)"
@@ -81,7 +94,9 @@ CYPHER: dict[str, tuple[str, str | None]] = {
     "order_limit": ("MATCH (c:customer) RETURN c.c_custkey AS c, c.c_acctbal AS b ORDER BY b DESC, c LIMIT 10", "SELECT c_custkey AS c, c_acctbal AS b FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10"),
     "order_skip_limit": ("MATCH (c:customer) RETURN c.c_custkey AS c ORDER BY c.c_acctbal, c.c_custkey SKIP 5 LIMIT 10", "SELECT c_custkey AS c FROM customer ORDER BY c_acctbal, c_custkey LIMIT 10 OFFSET 5"),
     "distinct_order_limit": ("MATCH (p:part) RETURN DISTINCT p.p_brand AS b, p.p_type AS t ORDER BY b DESC, t LIMIT 7", "SELECT DISTINCT p_brand AS b, p_type AS t FROM part ORDER BY b DESC, t LIMIT 7"),
-    "limit_only": ("MATCH (c:customer) RETURN c.c_custkey AS c LIMIT 5", None),
+    "limit_only": ("MATCH (c:customer) WITH c LIMIT 5 RETURN count(c) AS n, count(DISTINCT c) AS d", "SELECT count(*) AS n, count(*) AS d FROM (SELECT c_custkey FROM customer LIMIT 5)"),
+    "return_star": ("MATCH (n:nation)-[:part_of]->(r {r_name: 'ASIA'}) WITH n.n_name AS name, r.r_regionkey AS r RETURN *", "SELECT n_name AS name, r_regionkey::BIGINT AS r FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"),
+    "return_constant": ("RETURN 1 + 1 AS two, 'a' AS a", "SELECT 2::BIGINT AS two, 'a' AS a"),
     "limit_zero": ("MATCH (c:customer) RETURN c.c_custkey AS c LIMIT 0", "SELECT c_custkey AS c FROM customer LIMIT 0"),
     "agg_sum": ("MATCH (p:part) RETURN p.p_brand AS b, sum(p.p_size) AS s", "SELECT p_brand AS b, sum(p_size)::BIGINT AS s FROM part GROUP BY 1"),
     "agg_avg": ("MATCH (p:part) RETURN p.p_brand AS b, avg(p.p_size) AS a", "SELECT p_brand AS b, avg(p_size) AS a FROM part GROUP BY 1"),
@@ -151,13 +166,36 @@ def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = graph(spark, sf_dir).degrees("customer", "did")
-    return d.agg(F.percentile("degree", [0.4, 0.6, 0.99]).alias("p")).select(*[F.col("p")[i].alias(n) for i, n in enumerate(("p40", "p60", "p99"))])
+    g = graph(spark, sf_dir)
+    return _row(spark, ("p40", "p60", "p99"), g.histogram(g.degrees("customer", "did"), "degree", (40, 60, 99), exact=True))
 
 
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = graph(spark, sf_dir).vertices["part"]
-    return v.agg(F.percentile("p_size", [0.25, 0.5, 0.75]).alias("p")).select(*[F.col("p")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
+    g = graph(spark, sf_dir)
+    return _row(spark, ("p25", "p50", "p75"), g.histogram(g.vertices["part"], "p_size", (25, 50, 75), exact=True))
+
+
+def _row(spark: SparkSession, names, values) -> DataFrame:
+    return spark.createDataFrame([tuple(map(float, values))], ", ".join(f"{n} double" for n in names))
+
+
+def _index_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(graph(spark, sf_dir))
+    for text in ("CREATE INDEX ON :part(p_size)", "DROP INDEX ON :part(p_size)"):
+        e.run(text)
+    return e.run("MATCH (p:part) WHERE p.p_size = 19 RETURN p.p_partkey AS k")
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations and regions as delimited text, two groups of files with one label, and back as a graph."""
+    at = work_dir(spark, "delimited")
+    n, r = _table(spark, f"{sf_dir}/nation.parquet"), _table(spark, f"{sf_dir}/region.parquet")
+    for k in (0, 1):
+        delimited.dump(n.filter(n.n_nationkey % 2 == k).select(n.n_nationkey.alias("n_nationkey:id"), n.n_name.alias("n_name:string")), f"{at}/nation{k}")
+    delimited.dump(r.select(r.r_regionkey.alias("r_regionkey:id"), r.r_name.alias("r_name:string")), f"{at}/region")
+    delimited.dump(n.select(n.n_nationkey.alias(":start_id"), n.n_regionkey.alias(":end_id")), f"{at}/part_of")
+    g = delimited.load(spark, [("nation", [f"{at}/nation0"]), ("nation", [f"{at}/nation1"]), ("region", [f"{at}/region"])], [("part_of", [f"{at}/part_of"])], {"part_of": ("nation", "region")})
+    return Engine(g).run("MATCH (n:nation)-[:part_of]->(r:region) RETURN n.n_name AS nation, r.r_name AS region")
 
 
 def _params(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,6 +220,8 @@ OTHER = {
     "index_ddl": (_indexed, "SELECT p_partkey AS k, p_size::BIGINT AS size FROM part WHERE p_size >= 20 AND p_size < 25"),
     "degree_histogram": (_degrees, "SELECT quantile_cont(n, 0.4) AS p40, quantile_cont(n, 0.6) AS p60, quantile_cont(n, 0.99) AS p99 FROM (SELECT c_custkey, count(event_id) AS n FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1)"),
     "property_histogram": (_prices, "SELECT quantile_cont(p_size, 0.25) AS p25, quantile_cont(p_size, 0.5) AS p50, quantile_cont(p_size, 0.75) AS p75 FROM part"),
+    "index_dropped": (_index_dropped, "SELECT p_partkey AS k FROM part WHERE p_size = 19"),
+    "load_delimited": (_loaded, "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "parameters": (_params, "SELECT p_partkey AS p FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey = 11 AND p_size > 3"),
     "traversal_steps": (_steps, "SELECT count(*) AS count FROM orders WHERE o_totalprice > 100000"),
 }

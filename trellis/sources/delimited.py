@@ -71,7 +71,10 @@ def load(spark: SparkSession, vertices: list[tuple[str | None, list[str]]], edge
             if name is None:
                 raise QueryError(f"{files[0]}: no label")
             return [(name, df)], cols
-        labels = [name] if name else [r[0] for r in df.select("__label").distinct().collect()]  # as many as labels
+        labels = [r[0] for r in df.select("__label").distinct().collect()]  # as many as labels
+        if None in labels or name and labels not in ([name], []):
+            raise QueryError(f"{files[0]}: rows without a label" if None in labels else f"{files[0]}: rows of other labels than {name}")
+        labels = labels or [name or ""]
         return [(n, df.filter(F.col("__label") == n).drop("__label")) for n in labels], cols
 
     for name, files in vertices:

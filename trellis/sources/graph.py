@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,14 +10,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import QueryError
+from .shared import discard, written
 
 
 @dataclass(frozen=True)
 class Edges:
+    """One edge definition. rows: __src, __dst and properties, or a function that gives them twice, stored by either end."""
+
     type: str
     src_label: str
     dst_label: str
-    df: DataFrame  # src, dst, properties
+    rows: DataFrame | Callable[[], tuple[DataFrame, DataFrame]]
+
+    @property
+    def df(self) -> DataFrame:
+        return self.rows if isinstance(self.rows, DataFrame) else self.rows()[0]
+
+    @property
+    def back(self) -> DataFrame:
+        """The same rows, to be met by __dst."""
+        return self.rows if isinstance(self.rows, DataFrame) else self.rows()[1]
+
+
+def stored(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges that are costly to derive, written once in the order of each end: a walk's step from a few vertices then reads
+    the row groups that hold them, and not the tables that the edges were derived from."""
+    e = written(edges, "edges")
+    by = lambda end: written(e.repartitionByRange(end).sortWithinPartitions(end), "edges-by")
+    both = by("__src"), by("__dst")
+    discard(e)
+    return both
 
 
 def plain(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -45,10 +68,11 @@ class PropertyGraph:
     _cached: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
 
     def add_vertices(self, label: str, df: DataFrame, key: str) -> PropertyGraph:
-        """Rows become vertices of this label. The key column stays a property under its own name."""
+        """Rows become vertices of this label, beside those it has. The key column stays a property under its own name."""
         p = plain(df)
         cols = [F.col(key).cast("bigint").alias("__id"), *[F.col(c) for c in p.columns]]
-        self.vertices[label] = p.select(*cols)
+        new, old = p.select(*cols), self.vertices.get(label)
+        self.vertices[label] = new if old is None else old.unionByName(new, allowMissingColumns=True)
         return self
 
     def add_edges(self, type_: str, src_label: str, dst_label: str, df: DataFrame, src: str, dst: str, props: tuple[str, ...] = ()) -> PropertyGraph:
@@ -56,6 +80,11 @@ class PropertyGraph:
         self.edges.append(Edges(type_, src_label, dst_label, p))
         return self
 
+    def add_stored_edges(self, type_: str, src_label: str, dst_label: str, rows: Callable[[], tuple[DataFrame, DataFrame]]) -> PropertyGraph:
+        """Edges made by `stored`, when a query first asks for them."""
+        self.edges.append(Edges(type_, src_label, dst_label, rows))
+        return self
+
     def type_of(self, label: str, key: str) -> str | None:
         """int, float, string, bool; None for an unknown property."""
         df = self.vertices.get(label)
@@ -79,6 +108,7 @@ class PropertyGraph:
         if not self.indexes.get((label, key)):
             raise QueryError(f"no index on :{label}({key})")
         self.indexes[label, key] = False
+        self._cached.pop((label, key)).unpersist()
         return f"index on :{label}({key}) dropped"
 
     def scan(self, label: str, keys: frozenset[str] = frozenset()) -> DataFrame:
