@@ -210,3 +210,36 @@ def test_stored_edges_meet_by_either_end(spark):
     assert not made
     assert bag(e.run("MATCH (a:v)<-[:to]-(b) RETURN a.id AS a, b.id AS b")) == Counter((b, a) for a, b in pairs)
     assert bag(e.run("MATCH (a:v)-[:to*2..2]->(b) RETURN a.id AS a, b.id AS b")) == Counter((a, d) for a, b in pairs for c, d in pairs if b == c)
+
+
+def test_console(world, tmp_path):
+    from trellis.console import Console, split
+
+    e, people, knows = world
+    c = Console(e)
+    assert c.execute("MATCH (a:person) RETURN count(a) AS n") == f"n\n{len(people)}\n[1 rows]"
+    assert "quit" in c.execute("help") and "error" in c.execute("MATCH (a") and c.execute("  ") == ""
+    assert "Scan" in c.execute("explain MATCH (a:person) RETURN a.id AS a")
+    assert c.execute("config rows 1") == "rows = 1" and "no setting" in c.execute("config x 1")
+    assert c.execute("MATCH (a:person) RETURN a.id AS a").count("\n") == 2
+    c.execute(f"dump {tmp_path}/out MATCH (a:person) RETURN a.id AS a")
+    lines = [x for p in (tmp_path / "out").glob("*.csv") for x in p.read_text().split("\n")[1:] if x]
+    assert sorted(map(int, lines)) == sorted(p[0] for p in people)
+    (tmp_path / "f").write_text("// a comment; here\nMATCH (a:person) WHERE a.name = 'n;1' RETURN count(a) AS n;\nRETURN 2 AS two")
+    assert split((tmp_path / "f").read_text()) == ["MATCH (a:person) WHERE a.name = 'n;1' RETURN count(a) AS n", "RETURN 2 AS two"]
+    assert c.execute(f"source {tmp_path}/f") == "n\n0\n[1 rows]\ntwo\n2\n[1 rows]"
+    steps = e.profile("MATCH (a:person)-[:knows]->(b) RETURN a.id AS a")
+    assert any(m.get("numOutputRows") == len(knows) for _, m in steps)
+
+
+def test_throughput(world, tmp_path):
+    from trellis import throughput as t
+
+    e, people, _ = world
+    (tmp_path / "conf").write_text("[Config]\ntestTime= 1\n# one\nMATCH (a:person {id:$RAND}) RETURN a.name AS n|person|id|3|5000|both|knows\n# none\nMATCH (a:person) RETURN x|||1|1000\n")
+    settings, templates = t.read(f"{tmp_path}/conf")
+    assert settings == {"testTime": "1"} and [x.name for x in templates] == ["one", "none"] and templates[0].edge == "knows"
+    r = t.run(e, templates, rate=6, seconds=1, workers=3)
+    one, none = r["templates"]["one"], r["templates"]["none"]
+    assert one["runs"] + one["errors"] + none["errors"] == 6 and none["runs"] == 0 and one["p50"] <= one["p99"]
+    assert t.percentile([3, 1, 2, 4], 50) == 2 and t.percentile([], 50) == 0.0

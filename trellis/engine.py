@@ -35,6 +35,26 @@ class Engine:
         plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         return "\n".join(map(str, q)) + "\n\n" + plan
 
+    def profile(self, text: str, params: dict | None = None) -> list[tuple[str, dict[str, int]]]:
+        """Runs the query; each step of the plan that ran, from the result down, with Spark's metrics of it."""
+        df = self.run(text, params)
+        df.collect()
+        out, todo = [], [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "AdaptiveSparkPlan":
+                node = node.executedPlan()
+            found, it = {}, node.metrics().iterator()
+            while it.hasNext():
+                kv = it.next()
+                if kv._2().value():
+                    found[kv._1()] = kv._2().value()
+            out.append((node.nodeName(), found))
+            below = node.plan() if node.nodeName().endswith("QueryStage") else None
+            children = [below] if below is not None else [node.children().apply(k) for k in range(node.children().size())]
+            todo += reversed(children)
+        return out
+
     def collect(self, text: str, params: dict | None = None, timeout: float | None = None) -> list:
         """Rows of the result; the query's jobs are cancelled after timeout seconds."""
         df = self.run(text, params)
