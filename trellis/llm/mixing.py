@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, table, words, written
+from .common import fresh, n_words, table, words, written
 
 WEIGHTS = (3, 1, 2)
 #: The mix holds SHARE of all words, and no source more than CAP times its own.
@@ -53,8 +53,10 @@ def mixed(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE
     """docs needs doc_id, source, size, and tie (a long that tells rows of one doc_id apart). Adds source_size, target, taken."""
     n = docs.count()
     buckets = max(1, -(-n // bucket))
-    d = docs.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "tie"))
-    d = d.withColumn("_bucket", F.floor((F.shiftrightunsigned("_key", 1) / F.lit(float(2**63))) * buckets).cast("int"))
+    # 60 bits of MD5, which any engine has, so that SQL can tell the same order
+    hashed = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))), 1, 15)
+    d = docs.withColumn("_key", F.conv(hashed, 16, 10).cast("long"))
+    d = d.withColumn("_bucket", F.floor((F.col("_key") / F.lit(float(2**60))) * buckets).cast("int"))
     sums = d.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     sums = written(sums, "mix-sums")  # one row per source and bucket
     goal = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, share, cap)
@@ -62,7 +64,7 @@ def mixed(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE
     start = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(w), F.lit(0))).drop("_sum")
     plan = start.join(goal, start["source"].eqNullSafe(goal["source"])).select(start["source"].alias("_s"), F.col("_bucket").alias("_b"), "_start", "source_size", "target")
     d = d.join(plan, d["source"].eqNullSafe(plan["_s"]) & (d["_bucket"] == plan["_b"])).drop("_s", "_b")
-    order = Window.partitionBy("source", "_bucket").orderBy(F.shiftrightunsigned("_key", 1), "_key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_start") + F.coalesce(F.sum("size").over(order), F.lit(0))
     budget = F.round("target").cast("long")
     per = F.greatest("source_size", F.lit(1))
@@ -84,15 +86,18 @@ def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     A document of no words stays once, as it takes nothing from any budget. Rows alike in doc_id and text share a list
     of counts, one for each of them.
     """
-    tie = F.xxhash64("text")
+    tie, rid, rtie, rsize, takens, taken_ = F.xxhash64("text"), *map(fresh, ("id", "tie", "size", "takens", "taken"))
     d = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), tie.alias("tie")), "mix-docs")
-    m = mixed(d, seed).groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.first("size").alias("_size"), F.sort_array(F.collect_list("taken")).alias("_takens"))
-    j = docs.withColumn("_t", tie).join(m, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tie")))
-    nth = F.row_number().over(Window.partitionBy("_id", "_tie").orderBy("_size"))
-    j = j.withColumn("_taken", F.element_at("_takens", nth))
-    per = F.greatest("_size", F.lit(1))
-    full = F.when(F.col("_size") == 0, 1).otherwise(F.floor(F.col("_taken") / per)).cast("int")
-    rest = (F.col("_taken") % per).cast("int")
+    m = mixed(d, seed).groupBy(F.col("doc_id").alias(rid), F.col("tie").alias(rtie)).agg(F.first("size").alias(rsize), F.sort_array(F.collect_list("taken")).alias(takens))
+    m = written(m, "mix-taken")
+    once = m.filter(F.size(takens) == 1).count() == m.count()
+    j = docs.join(m, docs["doc_id"].eqNullSafe(F.col(rid)) & (tie == F.col(rtie)))
+    # rows alike in doc_id and text take the counts of the list in turn
+    nth = F.lit(1) if once else F.row_number().over(Window.partitionBy(rid, rtie).orderBy(rsize))
+    j = j.withColumn(taken_, F.element_at(takens, nth))
+    per = F.greatest(rsize, F.lit(1))
+    full = F.when(F.col(rsize) == 0, 1).otherwise(F.floor(F.col(taken_) / per)).cast("int")
+    rest = (F.col(taken_) % per).cast("int")
     part = F.array_join(F.slice(words(F.col("text")), F.lit(1), rest), " ")
     none = F.array().cast("array<string>")
     copies = F.concat(F.array_repeat(F.col("text"), full), F.when(rest > 0, F.array(part)).otherwise(none))

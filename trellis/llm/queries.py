@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import media, mixing, neighbours, passages, pieces, secrets, similar, tokenfile, toxicity, warc
+from .sql import SQL  # noqa: F401
 
 QUERIES = {
     "op1_token_files": tokenfile.op1_token_files,
@@ -16,5 +17,3 @@ QUERIES = {
     "op9_similar_documents": similar.op9_similar_documents,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
-
-SQL: dict[str, str] = {}
