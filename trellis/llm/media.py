@@ -19,7 +19,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import ship, table, written
 
 RATE = 8000
 UNIT = 64
@@ -346,12 +346,15 @@ def true_type(data: bytes, declared: str | None, a=None) -> str | None:
     return next((MIME[k] for k, o, _ in sniff(data, a) if o == 0), declared)
 
 
-def sniffed(df: DataFrame, data: str = "data", declared: str = "declared") -> DataFrame:
-    """Appends true_type and carved (array of kind, offset, length) to df. Null data has a null type and nothing carved."""
-    df = df.drop("true_type", "carved")
-    i, j, names = df.columns.index(data), df.columns.index(declared), [*df.columns, "true_type", "carved"]
+def sniffed(df: DataFrame, data: str = "data", declared: str = "declared", added: tuple[str, str] = ("true_type", "carved")) -> DataFrame:
+    """Appends the true type and what was carved (array of kind, offset, length) to df, as columns `added`, which df must not
+    have. Null data has a null type and nothing carved."""
+    if set(added) & set(df.columns):
+        raise ValueError(f"there are columns {added}")
+    ship(df.sparkSession)
+    i, j, names = df.columns.index(data), df.columns.index(declared), [*df.columns, *added]
     kind_ = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())]))
-    out = T.StructType([*df.schema.fields, T.StructField("true_type", T.StringType()), T.StructField("carved", kind_)])
+    out = T.StructType([*df.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], kind_)])
 
     def run(batches):
         import pyarrow as pa
@@ -397,7 +400,7 @@ def features(media: DataFrame) -> DataFrame:
                 m = x.as_py()
                 p = from_wav(m)
                 found = sniff(m, a)
-                feature = f"{true_type(m, None, a) if not found else MIME.get(found[0][0])};{RATE};8;1;{len(p)};" + ",".join(f"{k}@{o}+{n}" for k, o, n in found)
+                feature = f"{MIME.get(found[0][0]) if found else None};{RATE};8;1;{len(p)};" + ",".join(f"{k}@{o}+{n}" for k, o, n in found)
                 rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             cols = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)]

@@ -2,8 +2,8 @@
 
 Vectors are projected to M Gaussian directions; the squared projected distance of two vectors, over their squared true
 distance, is chi-squared with M degrees. A top kd-tree, fitted to at most SAMPLE projected rows, cuts space into cells;
-every row is indexed in its cell, cells beyond twice their target are split by a hash of vec_id, and each part builds its
-own kd-tree of buckets. A query takes buckets in the order of projected distance and verifies their vectors by the true
+every row is indexed in its cell, cells of more than 2 * CELL rows are split by a hash of vec_id, so a part stays of that size
+however large the table is, and each part builds its own kd-tree of buckets. A query takes buckets in the order of projected distance and verifies their vectors by the true
 distance. It stops when a vector nearer than the K-th so far would lie so far away in projection with a probability of
 1 - P at most (the chi-square test). Round one searches the query's own cell; its K-th distance then tells, by the same
 test, which other cells round two must visit.
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import ship, table, written
 
 M, K, P = 10, 10, 0.97
 SAMPLE, CELL, CELLS, BUCKET = 20_000, 4096, 1 << 16, 64
@@ -124,6 +124,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, is_query, k: int = K, p: float = P, cell: int = CELL) -> DataFrame:
     """The k nearest candidates of each row for which is_query holds: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
+    ship(spark)
     kind = "query_id long, rank int, vec_id long, score double"
     v = written(usable(vectors).withColumn("q", F.coalesce(is_query, F.lit(False))), "vectors")
     n = v.count()
@@ -135,7 +136,6 @@ def nearest(vectors: DataFrame, is_query, k: int = K, p: float = P, cell: int =
     cells = min(CELLS, -(-n // cell))  # their boxes are at most CELLS * 2 * M doubles
     depth = min(math.ceil(math.log2(cells)), max(0, int(math.log2(len(sample))) - 3)) if cells > 1 else 0
     tree, limit = top_tree(sample @ r, depth), chi_square_quantile(p)
-    target = max(cell, n >> depth)
 
     def place(batches):
         import pyarrow as pa
@@ -150,8 +150,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, p: float = P, cell: int =
     box = [f(F.col("pts")[i]).alias(f"{a}{i}") for i in range(M) for a, f in (("lo", F.min), ("hi", F.max))]
     boxes = placed.groupBy("cell").agg(F.count("*").alias("n"), *box).toPandas().sort_values("cell")
     low, high = (boxes[[f"{a}{i}" for i in range(M)]].to_numpy(float) for a in ("lo", "hi"))
-    numbers, parts = boxes["cell"].to_numpy(np.int64), np.maximum(1, boxes["n"].to_numpy() // (2 * target) + 1)
-    parts = np.where(boxes["n"].to_numpy() <= 2 * target, 1, parts)
+    numbers, parts = boxes["cell"].to_numpy(np.int64), np.maximum(1, -(-boxes["n"].to_numpy() // (2 * cell)))
     split = spark.createDataFrame(list(zip(numbers.tolist(), parts.tolist())), "cell long, parts int")
     index = placed.join(F.broadcast(split), "cell").select("cell", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), "vec_id", "embedding", "pts")
     queries = written(placed.filter("q").select("vec_id", "embedding", "pts", "cell"), "ann-queries")

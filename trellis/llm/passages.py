@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, table, written
+from .common import discard, ship, table, written
 
 WINDOW, GRAM = 50, 25
 HEAD, PASSAGES, CHARS, STRETCH = 6, 4000, 8_000_000, 1_000_000
@@ -269,6 +269,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by one space)."""
+    ship(docs.sparkSession)
     d = keyed(docs)
     j = d.join(repeats(d), "key", "left").withColumn("whole", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
 
