@@ -5,8 +5,8 @@ lattice of a text is a chain of the chunks' lattices. A mark starts a chunk only
 the model holds it; a model with a piece across chunks is refused. Forward sums alpha[j] of a chunk depend on its string alone; they are worked
 out once per chunk and worker, and kept for up to KEPT nodes. Backward sampling then goes from each chunk's end to its
 start and draws the last piece with probability alpha[i] * weight(piece) / alpha[j]. It runs over all chunks of a batch at
-once: the edges into all nodes lie in one array, ordered by node and cumulative probability, and one search gives the
-drawn edge of every chunk.
+once: the edges into all nodes lie in one array, ordered by node and cumulative probability, and all chunks step along
+their node's edges together until each has met its draw.
 
 A draw is a hash of the seed, the row's key and the place in the text: the same row gives the same pieces on any cluster
 and in any batch. The model's scores are merge ranks, so a piece's weight is taken as 1 / (rank + 10) ** theta (Zipf).
@@ -24,9 +24,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
-SEED, THETA, KEPT = 2024, 1.0, 4_000_000
+SEED, THETA, KEPT = 2024, 1.0, 6_000_000
 CHUNK = r"\n| *[^ \n]+| +"
 #: Marks that may start a chunk, where no piece of the model holds them with the character before.
 MARKS = ".,;:!?|"
@@ -35,8 +35,11 @@ BATCH = 1_000_000
 
 
 #: Chunks of this length are laid out by array operations, so many characters at a time.
-SHORT, AT_ONCE = 40, 60_000
+SHORT, AT_ONCE = 40, 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+SLOTS = 17
+_BELOW_1 = np.float32(1 - 2.0**-24)
+_SLOT = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 def piece_hash(s: str) -> int:
@@ -82,12 +85,26 @@ class Vocabulary:
             raise ValueError(f"pieces across chunks: {crossing[:5]}")
         self.weight = found
         self.longest = max(map(len, self.weight))
-        self.by_length = {}
-        for k in range(1, self.longest + 1):
-            own = [(piece_hash(s), *x) for s, x in self.weight.items() if len(s) == k]
-            if own:
-                own.sort()
-                self.by_length[k] = (np.array([x[0] for x in own], np.uint64), np.array([x[1] for x in own]), np.array([x[2] for x in own], np.int32))
+        if self.longest > 31:
+            raise ValueError(f"a piece of {self.longest} characters")
+        # pieces by hash: each lies in one of two slots
+        self.hash = np.zeros(1 << SLOTS, np.uint64)
+        self.at = np.zeros(1 << SLOTS, np.int32)
+        self.p_weight = np.array([x[0] for x in found.values()])
+        self.p_id = np.array([x[1] for x in found.values()], np.int32)
+        for k, s in enumerate(found):
+            h, turn = piece_hash(s), 0
+            while h:
+                slot = h * _SLOT[turn % 2] % 2**64 >> 64 - SLOTS
+                h, k, self.hash[slot], self.at[slot] = int(self.hash[slot]), int(self.at[slot]), h, k
+                turn = 1 if h and h * _SLOT[0] % 2**64 >> 64 - SLOTS == slot else 0
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are a piece's, and these pieces' numbers among the weights."""
+        a, b = ((h * np.uint64(m) >> np.uint64(64 - SLOTS)).astype(np.int64) for m in _SLOT)
+        in_a = self.hash[a] == h
+        hit = np.flatnonzero(in_a | (self.hash[b] == h))
+        return hit, self.at[np.where(in_a[hit], a[hit], b[hit])]
 
     def decode(self, ids) -> str:
         """The text of a list of ids; the space put before it goes."""
@@ -113,17 +130,29 @@ class Lattices:
 
     def clear(self):
         self.base: dict[str, int] = {}
-        self.nodes = 0
-        self._cum, self._piece, self._back = [], [], []
-        self._room = [np.zeros(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int16)]
-        self._edges = 0
+        self.nodes = self.edges = 0
+        #: first edge of each node; of each edge the cumulative probability, and 32 * piece + length
+        self.first = np.zeros(1 << 15, np.int32)
+        self.cum, self.edge = np.zeros(1 << 16, np.float32), np.zeros(1 << 16, np.int32)
+
+    def _append(self, counts, cum, piece, back) -> int:
+        """Add nodes with so many edges each; returns the number of the first one."""
+        b, e, n, m = self.nodes, self.edges, len(counts), len(cum)
+        while b + n > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        while e + m > len(self.cum):
+            self.cum, self.edge = (np.concatenate([x, np.zeros_like(x)]) for x in (self.cum, self.edge))
+        self.first[b : b + n] = e + np.cumsum(counts) - counts
+        self.cum[e : e + m] = cum
+        self.edge[e : e + m] = np.asarray(piece, np.int32) * 32 + np.asarray(back, np.int32)
+        self.nodes, self.edges = b + n, e + m
+        return b
 
     def add(self, s: str) -> int:
         """Place the chunk's nodes 1..len(s) after those that are there. Node b + j stands for its first j characters."""
         v, get, longest = self.v, self.v.weight.get, self.v.longest
-        b = self.base[s] = self.nodes
         alpha = [1.0] + [0.0] * len(s)
-        cum, piece, back = self._cum, self._piece, self._back
+        counts, cum, piece, back = [0], [], [], []
         for j in range(1, len(s) + 1):
             total, edges = 0.0, []
             for i in range(max(0, j - longest), j):
@@ -137,14 +166,15 @@ class Lattices:
                 edges.append((total, v.byte[c[0]] if len(c) == 1 else -ord(s[j - 1]), 1))
             alpha[j] = total
             for t, p, k in edges:
-                cum.append(b + j + t / total)
+                cum.append(t / total)
                 piece.append(p)
                 back.append(k)
-            cum[-1] = b + j + 1.0
+            cum[-1] = 1.0
+            counts.append(len(edges))
             if total < 1e-200:  # only ratios within a piece's reach count
                 for i in range(max(0, j - longest), j + 1):
                     alpha[i] *= 1e200
-        self.nodes += len(s) + 1
+        b = self.base[s] = self._append(np.array(counts), cum, piece, back)
         return b
 
     def add_all(self, chunks: list[str]) -> None:
@@ -169,14 +199,13 @@ class Lattices:
         n = len(char)
         pos = np.arange(n) - np.repeat(np.cumsum(length) - length, length) + 1  # of each character in its chunk, from 1
         w, ids = np.zeros((n, longest)), np.zeros((n, longest), np.int32)
-        h = np.zeros(n, np.uint64)
+        h, here = char + np.uint64(1), np.arange(n)
         for k in range(1, longest + 1):  # the piece of k characters that ends here
-            h = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) * _BASE + char + np.uint64(1)
-            table = v.by_length.get(k)
-            if table is not None:
-                at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
-                hit = (table[0][at] == h) & (pos >= k)
-                w[hit, longest - k], ids[hit, longest - k] = table[1][at[hit]], table[2][at[hit]]
+            if k > 1:
+                h = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) * _BASE + char + np.uint64(1)
+                here = here[pos[here] >= k]
+            hit, which = v.find(h[here])
+            w[here[hit], longest - k], ids[here[hit], longest - k] = v.p_weight[which], v.p_id[which]
         lone = w[:, -1] == 0
         w[lone, -1] = 1e-6
         c = char[lone].astype(np.int64)
@@ -187,35 +216,18 @@ class Lattices:
         for j in range(1, len(edges)):  # alpha of the node after character p lies at p + longest; before a chunk it is 1
             sel = order[edges[j - 1] : edges[j]]
             own = w[sel]
-            for k in range(1, min(j, longest) + 1):
-                if k < j:
-                    own[:, longest - k] *= alpha[sel - k + longest]
+            cols = np.arange(max(0, longest - j + 1), longest)  # pieces that don't begin the chunk
+            own[:, cols] *= alpha[sel[:, None] + cols]
             w[sel] = own
             alpha[sel + longest] = own.sum(1)
         cum = np.cumsum(w, axis=1)
         cum /= cum[:, -1:]
-        first = self.nodes
-        for c, b in zip(chunks, (first + np.cumsum(length + 1) - length - 1).tolist()):
-            self.base[c] = b
-        node = first + np.arange(n) + np.repeat(np.arange(len(chunks)), length) + 1
-        self.nodes += n + len(chunks)
         cum[:, -1] = 1.0
         there = w > 0
-        self.arrays()
-        self._cum, self._piece, self._back = (node[:, None] + cum)[there], ids[there], np.broadcast_to(back, w.shape)[there]
-        self.arrays()
-
-    def arrays(self):
-        """All edges so far: cumulative probability by node, piece, length. Room grows by doubling."""
-        n, new = self._edges, len(self._cum)
-        if new:
-            while n + new > len(self._room[0]):
-                self._room = [np.concatenate([x, np.zeros_like(x)]) for x in self._room]
-            for x, y in zip(self._room, (self._cum, self._piece, self._back)):
-                x[n : n + new] = y
-            self._edges = n = n + new
-        self._cum, self._piece, self._back = [], [], []
-        return tuple(x[:n] for x in self._room)
+        counts = np.zeros(n + len(chunks), np.int64)
+        counts[np.arange(n) + np.repeat(np.arange(len(chunks)), length) + 1] = there.sum(1)
+        b = self._append(counts, cum[there], ids[there], np.broadcast_to(back, w.shape)[there])
+        self.base.update(zip(chunks, (b + np.cumsum(length + 1) - length - 1).tolist()))
 
 
 def row_seed(key, seed: int = SEED) -> int:
@@ -245,7 +257,7 @@ class Sampler:
         if None in base:
             lat.add_all(list(dict.fromkeys(c for c, b in zip(chunks, base) if b is None)))
             base = list(map(lat.base.__getitem__, chunks))
-        cum, piece, back = lat.arrays()
+        first, cum, edge = lat.first, lat.cum, lat.edge
         base = np.array(base, np.int64)
         length = np.fromiter(map(len, chunks), np.int64, len(chunks))
         start = np.cumsum(length) - length  # in characters of the whole batch
@@ -257,10 +269,14 @@ class Sampler:
         out = np.full(int(chars.sum()), -(2**31), np.int32)  # a piece lies at its last character's place
         pos = length.copy()
         while len(pos):
-            node = base + pos
-            e = np.searchsorted(cum, node + draws(seeds, place + pos.astype(np.uint64)), "right")
-            out[start + pos - 1] = piece[e]
-            pos = pos - back[e]
+            e, u = first[base + pos], np.minimum(draws(seeds, place + pos.astype(np.uint64)).astype(np.float32), _BELOW_1)
+            step = np.flatnonzero(cum[e] <= u)
+            while len(step):  # the last edge of a node has 1
+                e[step] += 1
+                step = step[cum[e[step]] <= u[step]]
+            e = edge[e]
+            out[start + pos - 1] = e >> 5
+            pos = pos - (e & 31)
             go = pos > 0
             base, pos, start, seeds, place = base[go], pos[go], start[go], seeds[go], place[go]
         there = out > -(2**31)
@@ -304,6 +320,7 @@ def stretches(keys: list, texts: list, most: int = BATCH):
 
 def encoded(docs: DataFrame, model: str, seed: int = SEED, theta: float = THETA) -> DataFrame:
     """docs (doc_id, text) -> doc_id, ids (array of int), the sampled segmentation of each whole text."""
+    ship(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -318,6 +335,7 @@ def encoded(docs: DataFrame, model: str, seed: int = SEED, theta: float = THETA)
 
 def decoded(ids: DataFrame, model: str) -> DataFrame:
     """doc_id, ids -> doc_id, text. Null ids are the empty text."""
+    ship(ids.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -331,6 +349,7 @@ def decoded(ids: DataFrame, model: str) -> DataFrame:
 
 def digested(docs: DataFrame, model: str, seed: int = SEED, theta: float = THETA) -> DataFrame:
     """Encode and decode: doc_id, n_chars, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers), lossless."""
+    ship(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
