@@ -16,21 +16,27 @@ A task writes its file under a private name and renames it, with the same bytes
 
 from __future__ import annotations
 
+import itertools
+import json
+import re
 import struct
 import zlib
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_fs, put_file, table, work_dir
+from .common import open_fs, put_file, ship, table, work_dir
 
 MAGIC = b"TRLEF001"
 HEAD = "<8sIIQQQ"
 END_ID = 2
 #: Words kept with their ids per worker; the store is emptied beyond it, so memory is bounded.
-KEPT = 600_000
+KEPT = 500_000
 SAMPLE = 512
+#: Ids of a file; bytes of text that are encoded at once.
+SHARD_IDS, SLICE = 64 << 20, 4 << 20
 
 
 class EliasFano:
@@ -87,16 +93,25 @@ class EliasFano:
         return ((at - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
 
-class WordEncoder:
-    """Ids of whole texts by the tokenizers library, one white-space word at a time.
+#: The character that byte-level BPE writes for each byte.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) if b in _SHOWN else chr(256 + k) for b, k in [(b, 0) for b in _SHOWN] + [(b, k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)]}
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids are its words' ids in turn. The words
-    met so far are kept. Texts that hold the start of a special token go to the library whole.
+#: A word that stands between others when many are encoded at once.
+MARK = "\x02"
+
+
+class BatchEncoder:
+    """Ids of whole texts by the tokenizers library.
+
+    Where the tokenizer joins nothing across ASCII white space and drops it, a text's ids are its words' ids in turn. Texts
+    are then split and their words told apart by Arrow; new words go to the library together, with MARK between them, and
+    are kept. Whether the tokenizer is of that kind is tried out at the start; if it isn't, and for texts that hold the
+    start of a special token, texts go to the library whole. Words of printable ASCII are cut by the pattern in the
+    tokenizer's own file, where it is of the form that `_pattern` knows, and only new pieces go to its model.
     """
 
     def __init__(self, path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
@@ -104,62 +119,166 @@ class WordEncoder:
         self.tk.no_padding()
         self.special = sorted({t.content for t in self.tk.get_added_tokens_decoder().values()})
         self.dtype = np.dtype("<u2" if self.tk.get_vocab_size() < 65536 else "<u4")
-        self.plain = re.compile(r"[!-~]+").fullmatch
-        self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
-        self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, list[int]] = {}
-
-    def _piece(self, p: str) -> list[int]:
-        ids = self.pieces.get(p)
-        if ids is None:
-            ids = [t.id for t in self.tk.model.tokenize(p)]
-            if len(self.pieces) >= KEPT:
+        self.printable = re.compile(r"[!-~]+").fullmatch
+        self.cut = self._pattern()
+        self.by_word = self._tried()
+        self.clear()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tk.encode(text, add_special_tokens=False).ids
+
+    def _pattern(self):
+        """Finds the pieces of lower-case ASCII words, for byte-level BPE after lower-casing and one splitting pattern."""
+        d = json.loads(self.tk.to_str())
+        norm, pre = d.get("normalizer") or {}, d.get("pre_tokenizer") or {}
+        steps = [x.get("type") for x in norm.get("normalizers", [])]
+        split = pre.get("pretokenizers", [])
+        if set(steps) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in steps and [x.get("type") for x in split] == ["Split", "ByteLevel"]:
+            if split[0].get("behavior") == "Removed" and split[0].get("invert") and not split[1].get("use_regex") and not split[1].get("add_prefix_space"):
+                pattern = split[0]["pattern"]["Regex"]
+                self.cut_any = regex.compile(pattern).findall
+                return re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
+        return None
+
+    def _others(self, words: list[str]) -> list[list[int]] | None:
+        """Ids of words that aren't printable ASCII; None where normalizing them joins or parts words."""
+        normal = self.tk.normalizer.normalize_str(" ".join(words)).split(" ")
+        return [self._pieces(self.cut_any(w), lambda p: p.encode().decode("latin-1").translate(BYTES)) for w in normal] if len(normal) == len(words) else None
+
+    def _cut(self, w: str) -> list[int]:
+        return self._pieces(self.cut(w.lower()))
+
+    def _pieces(self, pieces: list[str], mapped=None) -> list[int]:
+        out = []
+        for p in pieces:
+            ids = self.pieces.get(p)
+            if ids is None:
+                ids = self.pieces[p] = [t.id for t in self.tk.model.tokenize(mapped(p) if mapped else p)]
+            out += ids
+        return out
+
+    def _tried(self) -> bool:
+        words = ["The", "cat's", "e\u0301t\u00e9", "\u0301x", "12,5", "don't", "\U0001f600!", "'s", "a\u00a0b", "STRASSE", "\u4e2d\u6587"]
+        apart = [self._ids(w) for w in words]
+        mark = self._ids(MARK)
+        joined = [sum(apart, []), sum((x + mark for x in apart), [])]
+        plain = [w for w in ["The", "cat's", "12,5", "don't", "'s", "STRASSE", "a1B2--c''ll", "(x)", "#!9"] if self.cut]
+        others = [w for w in [*words, "na\u00efve's", "\u00c0\u00c9", "\u01c5", "\u0130x", "\ufb01", "\x85", "\u2014a"] if self.cut]
+        if any(self._cut(w) != self._ids(w) for w in plain) or any((self._others([w]) or [self._ids(w)]) != [self._ids(w)] for w in others):
+            self.cut = None
+        return len(mark) == 1 and mark[0] not in sum(apart, []) and [self._ids(" \n".join(["", *words, ""])), self._ids(f" {MARK} ".join([*words, ""]))] == joined
+
+    def clear(self):
+        self.number: dict[str, int] = {}
+        self.start, self.length, self.flat, self.n, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, self.dtype), 0, 0
+
+    def _keep(self, lengths: np.ndarray, ids: np.ndarray) -> int:
+        """Add entries; returns the number of the first one."""
+        a, n, m = self.n, len(lengths), len(ids)
+        while a + n > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        while self.size + m > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.start[a : a + n] = self.size + np.cumsum(lengths) - lengths
+        self.length[a : a + n] = lengths
+        self.flat[self.size : self.size + m] = ids
+        self.n, self.size = a + n, self.size + m
+        return a
+
+    def _learn(self, words: list[str]) -> None:
+        if self.cut:
+            if len(self.pieces) > KEPT:
                 self.pieces.clear()
-            self.pieces[p] = ids
-        return ids
-
-    def _word(self, w: bytes) -> bytes:
-        s = w.decode()
-        if self.plain(s):
-            pieces = self.cut(s.lower())
-        else:
-            pieces = [p for p, _ in self.tk.pre_tokenizer.pre_tokenize_str(self.tk.normalizer.normalize_str(s))]
-        return np.array([i for p in pieces for i in self._piece(p)], self.dtype).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.tk.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        words, get = text.encode().split(), self.words.get
-        ids = list(map(get, words))
-        if None in ids:
-            for k, x in enumerate(ids):
-                if x is None:
-                    w = words[k]
-                    ids[k] = self.words.get(w) or self._word(w)
-                    if len(w) <= 64:
-                        if len(self.words) >= KEPT:
-                            self.words.clear()
-                        self.words[w] = ids[k]
-        return b"".join(ids)
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
+            own = [w for w in words if self.printable(w)]
+            found = list(map(self._cut, own))
+            first = self._keep(np.fromiter(map(len, found), np.int64, len(own)), np.fromiter(itertools.chain.from_iterable(found), np.int64))
+            self.number.update(zip(own, range(first, first + len(own))))
+            words = [w for w in words if w not in self.number]
+            for i in range(0, len(words), 500):
+                part = words[i : i + 500]
+                found = self._others(part)
+                if found is not None:
+                    first = self._keep(np.fromiter(map(len, found), np.int64, len(part)), np.fromiter(itertools.chain.from_iterable(found), np.int64))
+                    self.number.update(zip(part, range(first, first + len(part))))
+            words = [w for w in words if w not in self.number]
+        plain = [w for w in words if MARK not in w]
+        for i in range(0, len(plain), 5000):
+            part = plain[i : i + 5000]
+            ids = np.array(self._ids(f" {MARK} ".join([*part, ""])), np.int64)
+            ends = np.flatnonzero(ids == self._mark())
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer gives the mark for other words too")
+            first = self._keep(np.diff(ends, prepend=-1) - 1, np.delete(ids, ends))
+            self.number.update(zip(part, range(first, first + len(part))))
+        for w in words:
+            if MARK in w:
+                ids = self._ids(w)
+                self.number[w] = self._keep(np.array([len(ids)]), np.array(ids, np.int64))
+
+    def _mark(self) -> int:
+        return self._ids(MARK)[0]
+
+    def __call__(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """An Arrow array of texts without nulls -> all ids, each text's followed by end_id, and how many each text has."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if self.n > KEPT or self.size > 8 * KEPT:
+            self.clear()
+        whole = np.ones(len(texts), bool)
+        if self.by_word:
+            whole[:] = False
+            for s in self.special:
+                whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        rest = texts
+        if whole.any():
+            rest = pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts)
+        split = pc.ascii_split_whitespace(rest)
+        words = split.flatten().dictionary_encode()
+        known = words.dictionary.to_pylist()
+        number = list(map(self.number.get, known))
+        if None in number:
+            self._learn([w for w, k in zip(known, number) if k is None])
+            number = list(map(self.number.__getitem__, known))
+        at = np.array(number, np.int64)[words.indices.to_numpy()] if known else np.zeros(0, np.int64)
+        ends = split.offsets.to_numpy().astype(np.int64)
+        ends = ends[1:] - ends[0]
+        before = self.n, self.size
+        if whole.any():
+            found = [self._ids(texts[int(k)].as_py()) for k in np.flatnonzero(whole)]
+            first = self._keep(np.array([len(x) for x in found]), np.concatenate([np.array(x, np.int64) for x in found]))
+            at = np.insert(at, ends[whole], np.arange(first, first + len(found)))
+            ends = ends + np.cumsum(whole)
+        at = np.insert(at, ends, self._keep(np.array([1]), np.array([end_id])))
+        ends = ends + np.arange(1, len(ends) + 1)
+        length = self.length[at]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        ids = self.flat[np.repeat(self.start[at] - upto[:-1], length) + np.arange(upto[-1])]
+        self.n, self.size = before
+        total = upto[ends]
+        return ids, np.diff(total, prepend=0)
+
+
+_encoders: dict[str, BatchEncoder] = {}
+
+
+def encoder(path: str) -> BatchEncoder:
     """One per worker process, so that the words met by one task serve the next."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = BatchEncoder(path)
     return _encoders[path]
 
 
-def write_shards(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None) -> list[dict]:
-    """Encode docs (doc_id, text) into shard files below uri. Returns a row per shard: shard, path, docs, ids.
+def write_shards(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None, most: int = SHARD_IDS) -> list[dict]:
+    """Encode docs (doc_id, text) into shard files below uri. Returns a row per shard: shard, part, path, docs, ids.
 
-    shards: by default one per shuffle partition. The list is as long as the list of tasks.
+    shards: ranges of doc_id, by default one per shuffle partition. A task starts another file once one holds `most` ids,
+    so it never holds more than that and one slice of rows.
     """
+    ship(docs.sparkSession)
     n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select(F.col("doc_id").cast("long"), "text")
+    d = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches):
@@ -167,27 +286,50 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID
         from pyspark import TaskContext
 
         encode = encoder(tokenizer)
-        end = np.array([end_id], encode.dtype).tobytes()
         shard = TaskContext.get().partitionId()
-        ends, doc_ids, chunks, total, nulls = [], [], [], 0, 0
+        made, doc_ids, counts, chunks, total, nulls = [], [], [], [], 0, 0
+
+        def flush():
+            ends = np.cumsum(np.concatenate(counts))
+            ef = EliasFano.of(ends.astype(np.uint64)).to_bytes()
+            head = struct.pack(HEAD, MAGIC, encode.dtype.itemsize, nulls, len(ends), total, len(ef))
+            path = f"{uri}/shard-{shard:06d}-{len(made):04d}.ids"
+            put_file(path, [head, ef, np.concatenate(doc_ids).astype("<i8").tobytes(), *chunks])
+            made.append((shard, len(made), path, len(ends), total))
+
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encode(t.as_py() or "") + end
-                total += len(ids) // encode.dtype.itemsize
-                nulls += i is None
-                doc_ids.append(i or 0)
-                ends.append(total)
-                chunks.append(ids)
-        if not ends:
-            return
-        ef = EliasFano.of(np.array(ends, np.uint64)).to_bytes()
-        head = struct.pack(HEAD, MAGIC, encode.dtype.itemsize, nulls, len(ends), total, len(ef))
-        path = f"{uri}/shard-{shard:06d}.ids"
-        put_file(path, [head, ef, np.array(doc_ids, "<i8").tobytes(), *chunks])
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [path], "docs": pa.array([len(ends)], pa.int64()), "ids": pa.array([total], pa.int64())})
-
-    rows = d.mapInArrow(write, "shard long, path string, docs long, ids long").collect()  # one row per task
-    return [r.asDict() for r in sorted(rows, key=lambda r: r["shard"])]
+            for i, j in of_size(b.column(1), SLICE):
+                who = b.column(0).slice(i, j - i)
+                ids, each = encode(b.column(1).slice(i, j - i), end_id)
+                nulls += who.null_count
+                doc_ids.append(who.fill_null(0).to_numpy())
+                counts.append(each)
+                chunks.append(ids.tobytes())
+                total += len(ids)
+                if total >= most:
+                    flush()
+                    doc_ids, counts, chunks, total, nulls = [], [], [], 0, 0
+        if counts:
+            flush()
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made) if made else [[]] * 5, kinds)], ["shard", "part", "path", "docs", "ids"])
+
+    rows = d.mapInArrow(write, "shard long, part long, path string, docs long, ids long").collect()  # one row per `most` ids
+    return [r.asDict() for r in sorted(rows, key=lambda r: (r["shard"], r["part"]))]
+
+
+def of_size(texts, most: int):
+    """Ranges of rows of at most `most` bytes together, or one row."""
+    import pyarrow.compute as pc
+
+    n, i, sum_ = pc.binary_length(texts).to_pylist(), 0, 0
+    for j, k in enumerate(n):
+        if j > i and sum_ + k > most:
+            yield i, j
+            i, sum_ = j, 0
+        sum_ += k
+    if i < len(n):
+        yield i, len(n)
 
 
 class Shard:
@@ -216,15 +358,16 @@ def read_shards(spark, shards: list[dict]) -> DataFrame:
     """A row per document of the files: doc_id, start, n_tokens, ids_crc32. Ids are read in stretches of 2 MB or one document."""
     rows, before = [], 0
     for s in shards:
-        rows.append((s["shard"], s["path"], before))
+        rows.append((s["path"], before))
         before += s["ids"]
-    d = spark.createDataFrame(rows, "shard long, path string, before long").repartition(max(1, len(rows)), "shard")
+    ship(spark)
+    d = spark.createDataFrame(rows, "path string, before long").repartition(max(1, len(rows)), "path")
 
     def read(batches):
         import pyarrow as pa
 
         for b in batches:
-            for path, before in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for path, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = Shard(path)
                 ends = s.ends.all().astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
