@@ -6,6 +6,11 @@ the labelled sample. Logistic loss; for each sampled text that names a group, th
 another group's takes part, and the squared difference of the two scores is penalised, so a term's own weight can't carry
 a verdict. A proximal step (L1) keeps the model sparse, so long neutral texts don't add up to anything.
 
+Group terms are those of IDENTITY, in sets within which any one may stand for another, and sets learned from the sample:
+words of DF share of its texts that come with either label alike (smoothed log-odds of at most NEUTRAL), by how often they
+come, SET to a set. The second kind is there as a corpus may name its groups by words that no list has. `train` reports how
+many sampled texts got a swapped twin.
+
 The labelled sample is the SAMPLE rows of lowest hash(doc_id) among the labelled ones outside the held-out fold
 (crc32(doc_id) mod 4 = 2); the bound is this parameter. Scoring covers every whole text. Labels, lang, source and doc_id
 are no inputs of a score. A null text scores as an empty one. Without labels, or with one class only, every score is the
@@ -24,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import fresh, ship, table, written
 
 SAMPLE = 10_000
 FEATURES = 1024
 THRESHOLD = 0.3
-COUNTERFACTUAL, L1, STEPS = 1.0, 2e-4, 1500
+COUNTERFACTUAL, L1, STEPS = 4.0, 2e-4, 1500
 SMOOTH, POWER = 20.0, 2
 KEPT = 250_000
 #: Terms that name groups, in sets within which any one may stand for another.
@@ -42,7 +47,8 @@ IDENTITY = (
     ("disabled", "blind", "deaf", "autistic", "elderly", "young", "old"),
     ("femmes", "hommes", "musulmans", "juifs", "chrétiens", "frauen", "männer", "mujeres", "hombres"),
 )
-SWAP = {t: s for s in IDENTITY for t in s}
+#: Learned terms: share of the texts that hold one, log-odds, terms of a set, terms at most.
+DF, NEUTRAL, SET, LEARNED = (0.02, 0.3), 0.15, 4, 48
 _word = re.compile(r"\w+").findall
 
 
@@ -64,13 +70,29 @@ def text_features(text: str) -> set[str]:
     return {f for w in set(text.split()) for f in features_of(w)}
 
 
-def swapped(text: str, turn: int) -> str | None:
-    """text with each identity term swapped for another of its set; None if there is none."""
-    hit = False
+def swaps(sets) -> dict[str, tuple[str, ...]]:
+    """Each term's set. A term of several sets counts in the first."""
+    return {t: s for s in reversed([tuple(s) for s in sets if len(s) > 1]) for t in s}
+
+
+def learned_sets(counts: list[tuple[str, int, int]], n: int, toxic: int) -> list[tuple[str, ...]]:
+    """Sets of label-neutral terms from (word, texts that hold it, toxic ones among them) of n texts, so many of them toxic."""
+    rate = toxic / n if n else 0.0
+    if rate in (0.0, 1.0):
+        return []
+    odds = math.log(rate / (1 - rate))
+    even = [(c, w) for w, c, a in counts if DF[0] * n <= c <= DF[1] * n and abs(math.log((a + SMOOTH * rate) / (c - a + SMOOTH * (1 - rate))) - odds) <= NEUTRAL]
+    even = [w for _, w in sorted(even, key=lambda x: (-x[0], x[1]))[:LEARNED]]
+    return [tuple(even[i : i + SET]) for i in range(0, len(even) - SET + 1, SET)]
+
+
+def swapped(text: str, turn: int, terms: dict[str, tuple[str, ...]] | None = None) -> str | None:
+    """text with each group term swapped for another of its set; None if there is none."""
+    hit, terms = False, swaps(IDENTITY) if terms is None else terms
 
     def other(m):
         nonlocal hit
-        s = SWAP.get(m[0].lower())
+        s = terms.get(m[0].lower())
         if s is None:
             return m[0]
         hit = True
@@ -80,7 +102,7 @@ def swapped(text: str, turn: int) -> str | None:
     return out if hit else None
 
 
-def fit(rows: list[np.ndarray], twins: list[np.ndarray | None], y, features: int = FEATURES, weight: float = COUNTERFACTUAL, l1: float = L1, steps: int = STEPS) -> tuple[dict[int, float], float]:
+def fit(rows: list[np.ndarray], twins: list[np.ndarray | None], y, features: int = FEATURES, weight: float = COUNTERFACTUAL, l1: float = L1, steps: int = STEPS, terms=None) -> tuple[dict[int, float], float]:
     """(weight by feature number, bias) from the features of each text and of its swapped twin, if any.
 
     Full-batch proximal gradient on the chosen features, the same on every run.
@@ -95,7 +117,7 @@ def fit(rows: list[np.ndarray], twins: list[np.ndarray | None], y, features: int
     known, inv = np.unique(every, return_inverse=True)
     df, a = np.bincount(inv, minlength=len(known)), np.bincount(inv, y[owner], len(known))
     chi = np.where(df >= 3, (a - df * rate) ** 2 / (df * rate * (1 - rate)), 0)
-    for t in SWAP:  # identity terms always take part: it's their weights that the penalty holds down
+    for t in swaps(IDENTITY) if terms is None else terms:  # group terms always take part: it's their weights that the penalty holds down
         chi[known == ids_of([t])[0]] = np.inf
     chosen = np.sort(np.lexsort((known, -chi))[:features])
     known = known[chosen]
@@ -142,14 +164,21 @@ def fit(rows: list[np.ndarray], twins: list[np.ndarray | None], y, features: int
     return {int(f): float(x) for f, x in zip(known, w) if abs(x) > 1e-4}, b
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float], float]:
-    """Fit on at most `sample` labelled rows of the training folds. Only feature numbers reach the driver, not texts."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identity=IDENTITY, weight: float = COUNTERFACTUAL, report: dict | None = None) -> tuple[dict[int, float], float]:
+    """Fit on at most `sample` labelled rows of the training folds. Feature numbers and LEARNED terms' counts reach the
+    driver, not texts. report, if given, gets rows, pairs (texts with a swapped twin) and the learned sets."""
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     # which rows: settled on ids alone, so that texts are read for the sample and nothing else moves
     lab = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held)
     rows = lab.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "_id", "toxic").limit(sample)
     d = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     j = d.join(F.broadcast(rows), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")  # at most `sample` rows
+    j = written(j, "labelled")
+    n, toxic = j.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    words = j.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"(?U)\W+"))).alias("w")).filter("w <> ''")
+    often = words.groupBy("w").agg(F.count("*").alias("c"), F.sum("toxic").alias("a")).filter((F.col("c") >= DF[0] * n) & (F.col("c") <= DF[1] * n))
+    sets = learned_sets([tuple(r) for r in often.collect()], n, toxic)  # each text holds few words of 2 % of all texts
+    terms = swaps([*identity, *sets])
 
     def numbered(batches):
         import pyarrow as pa
@@ -159,14 +188,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = t.as_py()
                 own.append(ids_of(text_features(t)).tobytes())
-                x = swapped(t, i)
+                x = swapped(t, i, terms)
                 twin.append(None if x is None else ids_of(text_features(x)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary()), pa.array(twin, pa.binary()), b.column(2)], ["doc_id", "own", "twin", "toxic"])
 
     got = j.mapInArrow(numbered, "doc_id long, own binary, twin binary, toxic int").toArrow().to_pylist()
     got.sort(key=lambda x: (x["doc_id"], x["own"], x["toxic"]))
     arr = lambda x: None if x is None else np.frombuffer(x, np.uint32)
-    return fit([arr(x["own"]) for x in got], [arr(x["twin"]) for x in got], [x["toxic"] for x in got])
+    if report is not None:
+        report |= {"rows": n, "pairs": sum(x["twin"] is not None for x in got), "sets": sets}
+    return fit([arr(x["own"]) for x in got], [arr(x["twin"]) for x in got], [x["toxic"] for x in got], weight=weight, terms=terms)
 
 
 class Scorer:
@@ -193,11 +224,13 @@ class Scorer:
         return 1 / (1 + math.exp(-min(max(z, -30), 30)))
 
 
-def scored(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
-    """docs with a column score appended; all columns of docs are kept (one named score is replaced)."""
-    docs = docs.drop("score")
+def scored(docs: DataFrame, model: tuple[dict[int, float], float], name: str = "score") -> DataFrame:
+    """docs with a column of that name appended, which docs must not have; all columns of docs are kept."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name}")
+    ship(docs.sparkSession)
     at = docs.columns.index("text")
-    names = [*docs.columns, "score"]
+    names = [*docs.columns, name]
 
     def score(batches):
         import pyarrow as pa
@@ -206,7 +239,7 @@ def scored(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s(t.as_py() or "") for t in b.column(at)], pa.float64())], names)
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -227,6 +260,6 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score is below the threshold, with the columns of docs."""
-    model = train(docs, labels)
-    return scored(docs, model).filter(F.col("score") < threshold).select(*docs.columns)
+    """The documents whose score is below the threshold, with the columns of docs, whatever their names."""
+    name = fresh("score")
+    return scored(docs, train(docs, labels), name).filter(F.col(name) < threshold).select(*docs.columns)
