@@ -3,17 +3,24 @@
 Base spans: three patterns, leftmost and non-overlapping per kind; positions come from the lengths of the pieces
 between the matches (split) and of the matches (regexp_extract_all), in code points.
 
-Added spans: a battery of randomness tests. Candidates are runs of 24 or more characters of a base-64 or URL alphabet
-that hold a digit and a letter and touch no base span. The encoding (hex, base 32, base 64) is inferred from the
-characters. Each candidate gets three tests of the hypothesis "drawn uniformly from its alphabet": chi-squared over the
-alphabet's classes (fold to 16 classes), Wald-Wolfowitz runs above and below the alphabet's middle, and lag-one serial
-correlation; the three z values are combined by Stouffer's rule into a p value. Structured text rejects, a secret
-doesn't. Which rejections count is settled by Benjamini-Hochberg within strata of encoding and length, as short strings
-have less power; it is exact. A histogram of ln p per stratum, BINS bins a unit, holds each bin's rows and its least and
-largest p; only the bins that these leave open are settled row by row.
-What isn't rejected is reported, kind "random".
+The battery takes the value of every base span, and every run of 24 or more characters of a base-64 or URL alphabet that
+holds a digit and a letter and touches no base span (a UUID is such a run). The encoding (hex, base 32,
+base 64) is inferred from the characters. Three tests of "drawn uniformly from the alphabet" are made: chi-squared of
+the alphabet's classes (common letters and others, by case; digits; symbols), the number of runs of one coarse class, and
+the lag-one serial correlation of the places in the alphabet. Their z values are combined by Stouffer's rule.
+
+A discovery is a string that looks more random than structured text does. How structured text scores is fitted on the
+corpus: every document gives one made-up name, the words at a hashed place in camel case or run together with two digits
+(for hex, dates and counters), and z is regressed on the root of the length for each encoding. A string's p value is the
+chance that structured text of its length and encoding scores as low. Benjamini-Hochberg at FDR, exact, within strata of
+encoding and length, settles which are reported, kind "random"; so of what is reported at most that share is structured, by
+that fit. Base spans stay whatever the battery says; `n_base_random` counts those that it would report too.
+
+The step-up rule uses a histogram of ln p per stratum, BINS bins a unit, with each bin's rows and its least and largest p;
+only the bins that these leave open are settled row by row. A corpus without words has no fit; then FIT stands in.
 
 Null and empty texts have no spans. Very long texts are one row; a doc_id may be null or repeated, each row counts alone.
+Rows alike in doc_id and text are judged once. An empty table gives no rows; other columns are ignored, `redact` keeps them.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import GAP, fresh, row_key, table, written
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -31,6 +38,22 @@ RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 #: False-discovery rate of "structured", bins per unit of ln p, and the edge of a length stratum.
 FDR, BINS, STRATUM = 0.05, 20, 16
+#: Rows with spans that may be broadcast.
+FEW = 200_000
+UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+UP, LOW, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+COMMON = "etaoinsr"
+ALPHABET = {"hex": DIGITS + LOW[:6], "base32": UP + "234567", "base64": UP + LOW + DIGITS + "+/"}
+#: Class of each character, for the chi-squared test, and the coarse class, for the runs test.
+CLASS = {
+    "hex": "0011223344556677",
+    "base32": "".join("a" if c.lower() in COMMON else "b" for c in UP) + "c" * 6,
+    "base64": "".join("a" if c.lower() in COMMON else "b" for c in UP) + "".join("c" if c in COMMON else "d" for c in LOW) + "e" * 10 + "ff",
+}
+COARSE = {"hex": "d" * 10 + "l" * 6, "base32": "u" * 26 + "d" * 6, "base64": "u" * 26 + "l" * 26 + "d" * 12}
+#: Lengths of made-up names; intercept, slope on the root of the length, and deviation of z where the corpus gives no fit.
+LENGTHS = (8, 12, 16, 24, 32, 48, 64)
+FIT = {"hex": (0.0, 2.5, 3.0), "base32": (0.0, 0.6, 1.3), "base64": (-1.0, 0.9, 1.3)}
 
 
 def spans(text, pattern: str, kind: int, good=None):
@@ -76,36 +99,69 @@ def candidates(text, base):
 
 
 def battery(c: DataFrame) -> DataFrame:
-    """Adds enc, length and p (of uniform randomness, small for structured strings) to rows with a string column v."""
+    """Adds enc, length and z (large for structured strings) to rows with a string column v."""
     v = F.col("v")
-    enc = F.when(v.rlike("^[0-9a-fA-F]+$"), "hex").when(v.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
-    alpha = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-    c = c.withColumn("enc", enc).withColumn("length", F.length("v"))
-    c = c.withColumn("v", F.when(F.col("enc") == "hex", F.lower("v")).otherwise(F.translate("v", "-_", "+/")))
-    expr = "CASE enc " + " ".join(f"WHEN '{k}' THEN transform(filter(split(v, ''), x -> x <> ''), x -> locate(x, '{a}') - 1)" for k, a in alpha.items()) + " END"
-    size = F.when(F.col("enc") == "hex", 16).when(F.col("enc") == "base32", 32).otherwise(64)
-    c = c.withColumn("size", size).withColumn("pos", F.expr(expr))
-    n = F.col("length").cast("double")
-    chi = F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0.0), lambda a, x: a + F.pow(F.size(F.filter("pos", lambda q: F.floor(q * 16 / F.col("size")) == x)) - n / 16, F.lit(2)) / (n / 16))
-    # Wilson-Hilferty: the cube root of chi-squared over its 15 degrees is nearly normal
-    z_chi = (F.pow(chi / 15, F.lit(1 / 3)) - (1 - 2 / 135)) / F.lit((2 / 135) ** 0.5)
-    up = lambda q: (q * 2 >= F.col("size")).cast("int")
-    n1 = F.size(F.filter("pos", lambda q: q * 2 >= F.col("size"))).cast("double")
-    n2 = n - n1
-    pairs = F.zip_with(F.slice("pos", 1, F.col("length") - 1), F.slice("pos", 2, F.col("length") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    runs = 1 + F.size(F.filter(pairs, lambda p: up(p["a"]) != up(p["b"])))
-    mean = 1 + 2 * n1 * n2 / n
-    var = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
-    z_runs = F.abs(runs - mean) / F.sqrt(var)
-    mid = (F.col("size") - 1) / 2
-    cov = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mid) * (p["b"] - mid))
-    z_serial = F.abs(cov / ((F.pow("size", F.lit(2)) - 1) / 12)) / F.sqrt(n - 1)
-    half = 0.7978845608  # mean of |z|, taken off the two-sided ones
-    all_three = (z_chi + (z_runs - half) + (z_serial - half)) / F.lit((1 + 2 * 0.3634) ** 0.5)
-    c = c.withColumn("z", F.when((n1 == 0) | (n2 == 0), F.lit(9.0)).otherwise(all_three))
-    # upper tail of the normal, by a logistic approximation with an error below 0.0002
-    p = 1 / (1 + F.exp(F.least(F.lit(700.0), 0.07056 * F.pow("z", F.lit(3)) + 1.5976 * F.col("z"))))
-    return c.withColumn("p", p).drop("pos", "size", "z")
+    c = c.withColumn("v", F.when(v.rlike(UUID), F.regexp_replace(v, "-", "")).otherwise(F.regexp_replace(F.translate(v, "-_", "+/"), "[^A-Za-z0-9+/]", "")))
+    c = c.withColumn("enc", F.when(v.rlike("^[0-9a-fA-F]+$"), "hex").when(v.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64"))
+    c = c.withColumn("v", F.when(F.col("enc") == "hex", F.lower("v")).otherwise(v)).withColumn("length", F.length("v")).filter("length > 1")
+    each = lambda f: F.when(F.col("enc") == "hex", f("hex")).when(F.col("enc") == "base32", f("base32")).otherwise(f("base64"))
+    return c.withColumn("z", each(_z))
+
+
+def _z(enc: str):
+    """Column: combined z of v under "drawn uniformly from the alphabet of enc"."""
+    alphabet, n = ALPHABET[enc], F.col("length").cast("double")
+    size = len(alphabet)
+    share = lambda classes: {k: classes.count(k) / size for k in dict.fromkeys(classes)}
+    mapped = F.translate("v", alphabet, CLASS[enc])
+    chi = sum(((F.col("length") - F.length(F.translate(mapped, k, "")) - n * p) ** 2 / (n * p) for k, p in share(CLASS[enc]).items()), F.lit(0.0))
+    d = len(share(CLASS[enc])) - 1
+    # Wilson-Hilferty: the cube root of chi-squared over its degrees is nearly normal
+    z_chi = (F.pow(chi / d, F.lit(1 / 3)) - (1 - 2 / (9 * d))) / F.lit((2 / (9 * d)) ** 0.5)
+    runs = F.length(F.regexp_replace(F.translate("v", alphabet, COARSE[enc]), r"(.)\1+", "$1"))
+    p2, p3 = (sum(p**k for p in share(COARSE[enc]).values()) for k in (2, 3))
+    change = 1 - p2
+    var = (n - 1) * change * p2 + 2 * F.greatest(n - 2, F.lit(0.0)) * ((1 - 2 * p2 + p3) - change**2)
+    z_runs = ((n - 1) * change - (runs - 1)) / F.sqrt(F.greatest(var, F.lit(1e-9)))
+    pos = F.expr(f"transform(filter(split(v, ''), x -> x <> ''), x -> locate(x, '{alphabet}') - {(size + 1) / 2}D)")
+    products = F.zip_with(F.slice(pos, F.lit(1), F.col("length") - 1), F.slice(pos, F.lit(2), F.col("length") - 1), lambda a, b: a * b)
+    cov = F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
+    z_serial = F.abs(cov / ((size**2 - 1) / 12)) / F.sqrt(n - 1)
+    half = 0.7978845608  # mean of |z|, taken off the two-sided one; structured text has too few runs, never too many
+    return (z_chi + z_runs + (z_serial - half)) / F.lit((2 + 0.3634) ** 0.5)
+
+
+def structured(docs: DataFrame) -> DataFrame:
+    """One made-up name per document and encoding, as v."""
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    d = docs.filter(F.length("text") > 20).select(h.alias("h"), F.split(F.trim("text"), GAP).alias("w"))
+    n = F.element_at(F.array(*[F.lit(x) for x in LENGTHS]), (F.pmod("h", F.lit(len(LENGTHS))) + 1).cast("int"))
+    words = F.array_join(F.slice("w", (F.pmod(F.shiftright("h", 3), F.size("w")) + 1).cast("int"), F.lit(24)), " ")
+    d = d.select("h", n.alias("n"), F.regexp_replace(F.when(F.col("h") % 2 == 0, F.initcap(words)).otherwise(words), "[^A-Za-z0-9]", "").alias("w"))
+    two = F.lpad(F.pmod(F.shiftright("h", 5), F.lit(100)).cast("string"), 2, "0")
+    name = F.concat(F.col("w").substr(F.lit(1), F.col("n") - 2), two)
+    part = lambda k, m: F.lpad((F.pmod(F.shiftright("h", k), F.lit(m)) + 1).cast("string"), 2, "0")
+    dates = F.repeat(F.concat(F.lit("20"), part(4, 40), part(9, 12), part(13, 28), F.lpad(F.pmod("h", F.lit(999)).cast("string"), 8, "0")), 5)
+    every = F.array(name, F.translate(F.upper(name), "0189", "2345"), dates.substr(F.lit(1), F.col("n")))
+    return d.filter(F.length("w") >= F.col("n")).select(F.explode(every).alias("v"))
+
+
+def fitted(docs: DataFrame) -> dict[str, tuple[float, float, float]]:
+    """(intercept, slope, deviation) of z of structured text on the root of the length, by encoding. Three rows reach the driver."""
+    b = battery(structured(docs)).withColumn("x", F.sqrt("length"))
+    rows = b.groupBy("enc").agg(F.count("*").alias("n"), F.regr_intercept("z", "x").alias("a"), F.regr_slope("z", "x").alias("b"), F.stddev("z").alias("s"), F.corr("z", "x").alias("r")).collect()
+    fit = {r["enc"]: (r["a"], r["b"], max(0.3, r["s"] * max(0.0, 1 - r["r"] ** 2) ** 0.5)) for r in rows if r["n"] >= 30 and r["r"] is not None and r["r"] == r["r"]}
+    return FIT | fit
+
+
+def p_values(c: DataFrame, fit: dict[str, tuple[float, float, float]]) -> DataFrame:
+    """Adds p, the chance that structured text scores as low, and stratum."""
+    x = F.lit(0.0)
+    for enc, (a, b, s) in fit.items():
+        x = F.when(F.col("enc") == enc, (F.col("z") - (a + b * F.sqrt("length"))) / s).otherwise(x)
+    # lower tail of the normal, by a logistic approximation
+    c = c.withColumn("x", x).withColumn("p", 1 / (1 + F.exp(F.least(F.lit(700.0), -(0.07056 * F.pow("x", F.lit(3)) + 1.5976 * F.col("x"))))))
+    return c.withColumn("stratum", F.floor(F.log2(F.col("length") / STRATUM) * 2)).drop("x")
 
 
 NONE = "array<struct<s:int,k:int,e:int>>"
@@ -129,28 +185,33 @@ def cuts(c: DataFrame, fdr: float = FDR) -> DataFrame:
 
 
 def scanned(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """docs with doc_id and text -> (row, doc_id, base, spans), arrays of (s, k, e) by start, then kind. row is a hash of
-    doc_id and text. The texts are read once; what follows holds spans and candidates only."""
+    """docs with doc_id and text -> (row, doc_id, base, spans, n_base_random); base and spans are arrays of (s, k, e) by start,
+    then kind. row is the row_key. Apart from the fit, texts are read once; what follows holds spans and candidates only."""
+    docs = docs.select("doc_id", "text")
     t = F.coalesce(F.col("text"), F.lit(""))
-    long_enough = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6
-    base = F.array_sort(F.concat(spans(t, ASSIGN, 0, long_enough), spans(t, ACCESS, 1), spans(t, HEX, 2)))
+    value = lambda m: F.regexp_extract(m, ASSIGN, 2)
+    base = F.array_sort(F.concat(spans(t, ASSIGN, 0, lambda m: F.length(value(m)) >= 6), spans(t, ACCESS, 1), spans(t, HEX, 2)))
     d = docs.select("doc_id", "text", base.alias("base"))
-    d = d.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "base", candidates(t, F.col("base")).alias("cand"))
+
+    def valued(x):
+        m = F.col("text").substr(x["s"] + 1, x["e"] - x["s"])
+        return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.when(x["k"] == 0, value(m)).otherwise(m).alias("v"))
+
+    added = F.transform(candidates(t, F.col("base")), lambda c: F.struct(c["s"].alias("s"), F.lit(3).alias("k"), c["e"].alias("e"), c["m"].alias("v")))
+    d = d.select(row_key("doc_id", "text").alias("row"), "doc_id", "base", F.concat(F.transform("base", valued), added).alias("cand"))
     d = written(d, "secret-spans")
-    c = d.select("row", F.explode("cand").alias("c")).distinct()
-    c = c.select("row", F.col("c.s").alias("s"), F.col("c.e").alias("e"), F.regexp_replace("c.m", "=+$", "").alias("v"))
-    c = battery(c).withColumn("stratum", F.floor(F.log2(F.col("length") / STRATUM) * 2))
-    c = written(c.drop("v"), "secret-candidates")
-    c = c.join(cuts(c, fdr), ["enc", "stratum"], "left").filter(F.col("p") > F.coalesce("cut", F.lit(-1.0)))
-    one = F.struct(F.col("s"), F.lit(3).alias("k"), F.col("e"))
-    added = c.groupBy("row").agg(F.collect_list(one).alias("added"))
+    c = d.select("row", F.explode("cand").alias("c")).select("row", "c.*").distinct()
+    c = written(p_values(battery(c), fitted(docs)).drop("v"), "secret-candidates")
+    c = c.join(cuts(c, fdr), ["enc", "stratum"]).filter(F.col("p") <= F.col("cut"))
+    found = F.collect_list(F.when(F.col("k") == 3, F.struct("s", "k", "e")))
+    c = c.groupBy("row").agg(found.alias("added"), F.count(F.when(F.col("k") < 3, 1)).alias("n_base_random"))
     every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(NONE))))
-    return d.join(added, "row", "left").select("row", "doc_id", "base", every.alias("spans"))
+    return d.join(c, "row", "left").select("row", "doc_id", "base", every.alias("spans"), F.coalesce("n_base_random", F.lit(0)).alias("n_base_random"))
 
 
 def digest(d: DataFrame) -> DataFrame:
     n = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
-    return d.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return d.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.col("n_base_random").cast("long"))
 
 
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
@@ -159,9 +220,11 @@ def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every span replaced by mark; overlapping spans are replaced as one. Keeps the columns of docs."""
-    found = scanned(docs).filter(F.size("spans") > 0).select("row", "spans").groupBy("row").agg(F.first("spans").alias("_spans"))
-    d = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    d = d.join(found.withColumnRenamed("row", "_row"), "_row", "left")
+    row, spans_ = fresh("row"), fresh("spans")
+    found = scanned(docs).filter(F.size("spans") > 0).select("row", "spans").groupBy("row").agg(F.first("spans").alias(spans_))
+    found = written(found.withColumnRenamed("row", row), "secrets-found")
+    small = found.count() <= FEW  # about 60 bytes a row
+    d = docs.withColumn(row, row_key("doc_id", "text")).join(F.broadcast(found) if small else found, row, "left")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):
@@ -169,8 +232,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         out = F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
 
-    text = F.aggregate("_spans", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    hit = F.col("_spans").isNotNull()
+    text = F.aggregate(spans_, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.col("text").substr(acc["at"] + 1, F.length("text"))))
+    hit = F.col(spans_).isNotNull()
     d = d.withColumn("text", F.when(hit, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
