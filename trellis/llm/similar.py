@@ -1,54 +1,106 @@
 """N-gram Jaccard join, in DataFrame functions only: a size-aware heavy-light set join.
 
-Sets are the distinct 2-word shingles of a text, as 64-bit hashes. Documents with equal sets form a class; only classes
-are compared, and a class of thousands of copies counts as one.
-
-1. Document frequency of every shingle: (shingle, class) rows meet by shingle. Shingles of one class only can be in no
-   overlap and are left behind; the rest go back to their class, rarest first.
-2. Two sets with a Jaccard value of 0.6 share a shingle among the n - ceil(0.6 n) + 1 rarest of each (prefix filter). Of
-   those the shingles held by one class only are counted, not moved; most classes have nothing else and are done.
-3. Large sets scan the inverted lists of their prefixes, with size and position filters; pairs are counted by partial
-   aggregation before they move. Small sets (up to `boundary`, at most SMALL) instead enumerate their subsets of the size
-   that a partner must share, and meet in them. The boundary is where the sum of both costs is least: subsets to enumerate
+Sets are the distinct 2-word shingles of a text, as 54-bit hashes below a level. Documents with equal sets form
+a class; only classes are compared, and a class of thousands of copies counts as one.
+
+1. Levels: words are counted in SLOTS hash slots over all documents, by partial aggregation. A slot's level is the
+   logarithm of its count over the mean, 0 to 15, and a shingle's level the sum of its words' levels, the frequency that it
+   would have if words came independently. Levels come first in the order of shingles, so what many documents share comes last. Any order
+   gives the same links; this one keeps the lists short without moving every shingle to count it.
+2. Two sets with a Jaccard value of 0.6 share k shingles among the first n - ceil(0.6 n) + k of each (prefix filter;
+   `depth` gives each set's k, and the smaller one holds for a pair). Texts are shingled once, and only prefixes are kept
+   and moved. They are counted by partial aggregation, those of one class only go, and of the rest each set drops its
+   `slack` most frequent: as all sets drop from the same order, a pair loses no more than the larger slack, which is below
+   the k that it must share. Of two sets, the shingles that the one whose prefix ends first holds in it and shares lie in
+   both prefixes, so at least the overlap asked for less what lies behind the prefix must be met there, too. Of k shared entries
+   the k-th most frequent is k-th or later in both sets: a pair is looked for by its LAST entries only, which are the rarest,
+   so passages that thousands of documents share make no pairs of documents that differ otherwise.
+3. Large sets scan the inverted lists that remain, with a size filter; shared entries are counted by partial aggregation
+   before they move. Small sets (up to `boundary`, at most SMALL) instead enumerate their subsets of the size that a
+   partner must share, and meet in them. The boundary is where the sum of both costs is least: subsets to enumerate
    against entries of the lists to scan, both measured.
-4. Candidates are verified by the whole overlap. Candidate components bring the sets together: each set moves once,
-   components over BLOCK classes are split in blocks.
+4. Candidates are verified by the whole overlap. One text of each class that has a candidate is shingled again. A pair
+   goes to the group of the smallest candidate of its smaller end; groups of more than PAIRS pairs are cut in squares by
+   hash. A set moves to the squares that own a pair of it, and nowhere else.
 5. Components of the links by alternating large-star and small-star rounds, each written to the shared folder.
 
-Shingles are 48 bits of their hash in lists (64 in set sizes and classes), so a false match has a chance of 1e-9 a pair.
+Shingles are 54 bits of a hash, so a false match has a chance of about 1e-11 a pair; classes are 64 bits of one.
 Null and empty texts have an empty set and link with nothing; a text of one word has that word as its only shingle.
-Repeated rows are documents of their own, linked with each other. A null doc_id is never a component's smallest.
+Repeated rows are documents of their own, linked with each other. A null doc_id is never a component's smallest. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, table, words, written
+from .common import apart, discard, fresh, n_words, row_key, table, words, written
 
-SMALL, BLOCK = 8, 256
+SMALL, LAST = 8, 4
+#: Hash slots of the word counts; pairs of a group that are verified in one square; classes that may be broadcast.
+SLOTS, PAIRS, FEW = 1 << 19, 1 << 15, 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shingles(text):
-    """Column: the distinct shingles of a text, as longs."""
+def lowered(text):
+    """Column: the text with A-Z in lower case, a null one empty."""
     t = F.coalesce(text, F.lit(""))
-    low = F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
-    w = words(low)
+    return F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
+
+
+def slot(word_hash):
+    return word_hash.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+
+
+def word_levels(docs: DataFrame):
+    """Column: a literal array of SLOTS levels, 16 to an integer. Counts all words of all documents."""
+    w = docs.select(F.explode(words(lowered(F.col("text")))).alias("w"))
+    counts = w.select(slot(F.xxhash64("w")).alias("slot")).groupBy("slot").count().toArrow()  # SLOTS rows at most
+    n = np.zeros(SLOTS)
+    n[counts.column("slot").to_numpy()] = counts.column("count").to_numpy()
+    level = np.clip(np.round(np.log2(np.maximum(n, 1) / max(1.0, n.sum() / SLOTS)) + 3), 0, 15).astype(np.uint64)
+    packed = np.bitwise_or.reduce(level.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64)
+    return F.split(F.lit(",".join(map(str, packed.tolist()))), ",").cast("array<bigint>")
+
+
+def shingles(text, levels):
+    """Column: the distinct shingles of a text, as longs, in the order of levels and hashes."""
+
+    def key(level, h):
+        return F.shiftleft(level, 54).bitwiseOR(F.shiftrightunsigned(h, 10))
+
+    def word(h):
+        four = F.shiftleft(h.bitwiseAND(F.lit(15)).cast("int"), 2)
+        return key(F.call_function("shiftrightunsigned", F.element_at(levels, F.shiftright(slot(h), 4) + 1), four).bitwiseAND(F.lit(15)), h)
+
+    def pair(a, b):
+        return key(F.shiftright(a, 54) + F.shiftright(b, 54), F.xxhash64(a, b))
 
     def of(w):
-        pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.xxhash64(a, b))
-        return F.when(F.size(w) >= 2, F.array_distinct(pairs)).otherwise(F.transform(w, lambda x: F.xxhash64(F.lit(1), x)))
+        pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), pair)
+        return F.sort_array(F.array_distinct(F.when(F.size(w) >= 2, pairs).otherwise(w)))
 
+    each = F.transform(F.transform(words(lowered(text)), lambda x: F.xxhash64(x)), word)
     # bound once, by a list of one
-    return F.element_at(F.transform(F.array(w), of), 1)
+    return F.element_at(F.transform(F.array(each), of), 1)
+
+
+def depth(n):
+    """Shingles that a set of n must share with a partner's prefix; never less for a larger set."""
+    return 1 + F.floor(F.least(n / 4, F.greatest(n / 16, F.lit(32.0))))
+
+
+def slack(n):
+    """How many of its most frequent shingles a set of n may drop: less than its own depth and any partner's."""
+    return depth(F.floor(n * 3 / 5)) - 1
 
 
 def prefix_length(n):
-    return n - F.ceil(n * 3 / 5) + 1
+    return F.least(n, n - F.ceil(n * 3 / 5) + depth(n)).cast("int")
 
 
 def least_overlap(m, n):
@@ -99,11 +151,6 @@ def _small_pairs(small: DataFrame, b: int) -> DataFrame:
     return j.select("a", "b", "o").distinct()
 
 
-def row_key(docs: DataFrame):
-    """Column: the row's doc_id and text as one hash."""
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
-
-
 def linked(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, n_similar, component_id."""
     return linked_rows(docs).drop("row", "comp")
@@ -111,76 +158,107 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def linked_rows(docs: DataFrame) -> DataFrame:
     """The same with row, the row_key, and comp, the component, null for documents without shingles."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sh = F.col("sh")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), shingles(F.col("text")).alias("sh"))
-    d = d.select("doc_id", "row", F.size(sh).alias("n"), F.xxhash64(F.array_sort(sh)).alias("cls"), "sh")
-    members = written(d.select("doc_id", "row", "n", "cls", F.when(F.col("n") <= SMALL, sh).alias("sh")), "sets")
-    classes = written(members.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("sh").alias("sh")), "classes")
-
-    # 1. shingles of two classes or more, back at their class, rarest first
-    rows = d.select("cls", F.explode("sh").alias("h")).select("cls", F.shiftright("h", 16).alias("tok"))
-    rows = rows.repartition(parts, "tok").distinct()
-    shared = rows.withColumn("df", F.count("*").over(Window.partitionBy("tok"))).filter("df > 1")
-    packed = F.shiftleft(F.least("df", F.lit(32767)), 48).bitwiseOR(F.col("tok").bitwiseAND(F.lit((1 << 48) - 1)))
-    lists = shared.select("cls", packed.alias("x")).groupBy("cls").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    lists = lists.join(classes.select("cls", "n"), "cls").withColumn("q", (prefix_length(F.col("n")) - (F.col("n") - F.size("xs"))).cast("int"))
-    lists = written(lists.filter("q > 0"), "lists")
-
-    # 2. and 3. candidates
-    pre = lists.select("cls", "n", (F.col("n") - F.size("xs")).alias("rare"), F.posexplode(F.slice("xs", F.lit(1), F.col("q"))).alias("i", "x"))
-    pre = written(pre.select("cls", "n", (F.col("rare") + F.col("i")).alias("pos"), "x"), "prefixes")
-    few = pre.filter(F.col("n") <= SMALL).groupBy("n").agg(F.sum(F.shiftright("x", 48)).alias("cost")).collect()  # SMALL rows
-    count = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= SMALL).groupBy("n").count().collect()}
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    levels = word_levels(docs)
+
+    # 2. prefixes, and whole sets of SMALL shingles
+    d = docs.select("doc_id", row_key("doc_id", "text").alias("row"), shingles(F.col("text"), levels).alias("sh"))
+    n = F.size("sh")
+    kept = F.when(n <= SMALL, F.col("sh")).otherwise(F.slice("sh", F.lit(1), prefix_length(n)))
+    sets = written(d.select(F.monotonically_increasing_id().alias("id"), "doc_id", "row", n.alias("n"), F.xxhash64("sh").alias("cls"), kept.alias("sh")), "sets")
+    members = written(sets.drop("sh"), "members")
+    one = F.min(F.struct("id", "row")).alias("one")
+    classes = sets.withColumn("sh", F.when(F.col("n") <= SMALL, F.col("sh"))).filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("rep"), one, F.max("sh").alias("sh"))
+    classes = written(classes.select("cls", "n", "copies", "rep", "one.*", "sh"), "classes")
+    copies = written(members.join(classes.filter("copies > 1").select("cls", F.col("id").alias("own")), "cls").filter("id <> own").select("id"), "copies")
+    small = copies.count() <= FEW  # 8 bytes a row
+    one_each = sets.filter("n > 0").join(F.broadcast(copies) if small else copies, "id", "left_anti")
+
+    # entry: 48 bits of a shingle's hash, 16 of its set's size
+    tok, size = lambda c: F.shiftrightunsigned(c, 16), lambda c: F.col(c).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    x = F.explode(F.slice("sh", F.lit(1), prefix_length(F.col("n")))).alias("x")
+    entries = one_each.select("id", "n", x).select(F.shiftleft("x", 16).bitwiseOR(F.least("n", F.lit(0xFFFF)).cast("long")).alias("e"), "id")
+    common = entries.groupBy(tok("e").alias("tok")).agg(F.count("*").alias("c")).filter("c > 1")
+    shared = written(entries.join(common, tok("e") == F.col("tok")).select("e", "id", "c"), "shared")
+    few = shared.filter(size("e") <= SMALL).select(tok("e").alias("tok"), size("e").alias("n")).groupBy("tok", "n").agg(F.count("*").alias("k"))
+    few = few.join(few.groupBy("tok").agg(F.sum("k").alias("all")), "tok").groupBy("n").agg(F.sum(F.col("k") * F.col("all")).alias("cost"))
+    count = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= SMALL).groupBy("n").count().collect()}  # SMALL rows
     enum = {n: k * sum(math.comb(n, c) for c in subset_sizes(n)) for n, k in count.items()}
-    b = boundary(enum, {r["n"]: r["cost"] for r in few})
-    l = pre.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "x")
-    r = pre.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "x")
-    fits = (F.col("a") < F.col("b")) & (5 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (F.greatest("na", "nb") > b)
-    reach = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    pairs = l.join(r, "x").filter(fits & (reach >= least_overlap(F.col("na"), F.col("nb")))).groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one")
-    pairs = written(pairs, "candidates")
+    b = boundary(enum, {r["n"]: r["cost"] for r in few.collect()})  # SMALL rows
+    discard(sets, copies)
+
+    # 3. candidates
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "e"))  # of a set's own entries, most frequent first
+    n = size("e")
+    lists = shared.withColumn("rank", rank).filter(F.col("rank") > slack(n))
+    # what the join asks of each set, in one integer and by integer arithmetic, so that it stays a small loop
+    facts = [(F.col("rank"), 0), (slack(n), 16), (depth(n), 29), (n - prefix_length(n), 43)]
+    lists = written(lists.select("e", "id", sum((F.shiftleft(x.cast("long"), k) for x, k in facts), F.lit(0).cast("long")).alias("f")), "lists")
+    discard(shared)
+    l, r = lists.select(F.col("id").alias("a"), F.col("e").alias("l"), F.col("f").alias("fl")), lists.select(F.col("id").alias("b"), F.col("e").alias("r"), F.col("f").alias("fr"))
+    fact = lambda c, at, bits: F.shiftright(c, at).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    both = lambda f, at, bits: f(fact("fl", at, bits), fact("fr", at, bits))
+    na, nb = size("l"), size("r")
+    fits = (F.col("a") < F.col("b")) & (5 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (F.greatest(na, nb) > b)
+    overlap = F.shiftright(3 * (na + nb) + 7, 3)  # least_overlap
+    # tokens that the set whose prefix ends first holds there are in the other's prefix too: all others lie behind it
+    met = F.greatest(F.least(both(F.least, 29, 14), overlap), overlap - both(F.greatest, 43, 18))
+    # of so many shared entries the k-th most frequent has rank k or more in both sets, so the last few do for the pair
+    low = both(F.greatest, 16, 13) + 1
+    met = F.when(F.greatest(na, nb) == 0xFFFF, low).otherwise(met)  # sizes beyond aren't known here
+    from_ = F.greatest(met - LAST + 1, low)
+    pairs = l.join(r, (tok("l") == tok("r")) & fits & (both(F.least, 0, 16) >= from_)).groupBy("a", "b").agg(F.count("*").alias("k"), F.first(met - from_ + 1).alias("need"))
+    pairs = written(pairs.filter("k >= need").select("a", "b"), "candidates")
+    discard(lists)
 
     # 4. whole overlaps, where both sets are
-    edges = _verified(pairs, lists, parts).unionByName(_small_pairs(classes.select("cls", "n", "sh"), b).select("a", "b"))
+    edges = _verified(pairs, classes, docs, levels).unionByName(_small_pairs(classes.filter(F.col("n") <= SMALL).select(F.col("id").alias("cls"), "n", "sh"), b).select("a", "b"))
     edges = written(edges.distinct(), "links")
+    discard(pairs)
 
     # 5. counts and components
     ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = ways.join(classes.select(F.col("cls").alias("b"), "copies"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("copies").alias("near"))
+    near = ways.join(classes.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("near"))
     comp = components(edges)
-    mine = classes.select("cls", "rep", "copies").join(comp.withColumnRenamed("node", "cls"), "cls", "left").join(near, "cls", "left")
-    mine = written(mine.withColumn("comp", F.coalesce("comp", "cls")), "class-links")
+    mine = classes.select("cls", "id", "rep", "copies").join(comp.withColumnRenamed("node", "id"), "id", "left").join(near, "id", "left")
+    mine = written(mine.withColumn("comp", F.coalesce("comp", "id")), "class-links")
     ids = mine.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = mine.join(ids, "comp").select("cls", "comp", "component_id", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_similar"))
-    j = members.select("doc_id", "row", "n", "cls").join(of, "cls", "left")
+    j = members.join(of, "cls", "left")
     empty = F.col("n") == 0
     return j.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(empty, 0).otherwise(F.col("n_similar")).cast("long").alias("n_similar"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row", "comp")
 
 
-def _verified(pairs: DataFrame, lists: DataFrame, parts: int) -> DataFrame:
-    """Pairs whose overlap suffices. Both sets of a pair lie in one partition, by component and block."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, levels) -> DataFrame:
+    """Pairs whose overlap suffices. Both sets of a pair lie in one partition, by group and square."""
     spark = pairs.sparkSession
-    comp = components(pairs)
-    size = comp.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    at = written(comp.join(size, "comp"), "candidate-components")
-    g = lambda blk: F.xxhash64("comp", blk)
-    own = F.pmod("cls", "blocks").cast("int")
-    sets = lists.select("cls", "n", "xs").join(at.withColumnRenamed("node", "cls"), "cls")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = ways.groupBy("a").agg(F.least("a", F.min("b")).alias("g"))
+    p = pairs.join(least, "a")
+    cut = p.groupBy("g").agg(F.ceil(F.sqrt(F.count("*") / PAIRS)).cast("int").alias("cut"))
+    p = p.join(cut, "g").select(F.xxhash64("g", F.pmod(F.xxhash64("a"), "cut"), F.pmod(F.xxhash64("b"), "cut")).alias("g"), "a", "b")
+    p = written(p, "squares")
+    ends = p.select("g", F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(True).alias("left")), F.struct(F.col("b").alias("id"), F.lit(False).alias("left")))).alias("x")).select("g", "x.*").distinct()
+    wanted = written(classes.join(ends.select("id").distinct(), "id").select("row", "id"), "wanted")
+    if wanted.count() <= FEW:  # 24 bytes a row
+        rows = F.broadcast(wanted)
+    else:
+        rows = wanted
+    sets = docs.withColumn("row", row_key("doc_id", "text")).join(rows, "row").dropDuplicates(["id"]).select("id", shingles(F.col("text"), levels).alias("sh"))
     sets = written(sets, "candidate-sets")
-    left = sets.select(g(own).alias("g"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("xs").alias("sa"))
-    right = sets.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(g(F.col("blk")).alias("g"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("xs").alias("sb"))
-    p = pairs.join(at.withColumnRenamed("node", "a"), "a").select(F.xxhash64("comp", F.pmod("a", "blocks").cast("int")).alias("g"), "a", "b")
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")  # one shuffle by g serves both joins
-    try:
-        j = p.repartition(parts, "g").join(left.repartition(parts, "g"), ["g", "a"]).join(right.repartition(parts, "g"), ["g", "b"])
-        o = F.size(F.array_intersect("sa", "sb"))
-        return written(j.select("a", "b", "na", "nb", o.alias("o")).filter("100 * o >= 60 * (na + nb - o)").select("a", "b"), "verified")
-    finally:
-        spark.conf.set(key, before)
+    # in a session of its own, where one shuffle by g serves both joins
+    own = apart(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"})
+    p, sets, ends = (again(own) for again in (p._again, sets._again, written(ends, "ends")._again))
+    at = ends.join(sets, "id")
+    left = at.filter("left").select("g", F.col("id").alias("a"), F.col("sh").alias("sa"))
+    right = at.filter("not left").select("g", F.col("id").alias("b"), F.col("sh").alias("sb"))
+    j = p.repartition(parts, "g").join(left.repartition(parts, "g"), ["g", "a"]).join(right.repartition(parts, "g"), ["g", "b"])
+    o = F.size(F.array_intersect("sa", "sb"))
+    j = j.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), o.alias("o")).filter("100 * o >= 60 * (na + nb - o)").select("a", "b")
+    found = written(j, "verified")._again(spark)
+    discard(p, sets, ends)
+    return found
 
 
 def op9_similar_documents(spark, sf_dir: str) -> DataFrame:
@@ -189,9 +267,18 @@ def op9_similar_documents(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, that with the smallest doc_id (a null one last), of these that with the smallest row
-    key; rows without shingles all stay. Keeps docs' columns."""
+    key; rows without shingles all stay. Keeps docs' columns, whatever their names."""
+    row = fresh("row")
     at = linked_rows(docs.select("doc_id", "text")).filter("comp IS NOT NULL")
     best = at.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
-    d = docs.withColumn("_row", row_key(docs))
-    kept = d.join(best.select(F.col("best.row").alias("_row")), "_row", "left_semi").dropDuplicates(["_row"])
-    return kept.select(*docs.columns).unionByName(docs.filter(n_words(F.col("text")) == 0))
+    best = best.select(F.col("best.row").alias("row")).join(at.groupBy("row").count(), "row")
+    best = written(best.select(F.col("row").alias(row), "count"), "kept")
+    d = docs.withColumn(row, row_key("doc_id", "text"))
+
+    def of(some):
+        small = some.count() <= FEW  # 40 bytes a row
+        return d.join(F.broadcast(some) if small else some, row, "left_semi")
+
+    # only rows that are alike in doc_id and text have to meet
+    once, more = of(best.filter("count = 1")), of(best.filter("count > 1")).dropDuplicates([row])
+    return once.unionByName(more).select(*docs.columns).unionByName(docs.filter(n_words(F.col("text")) == 0))
