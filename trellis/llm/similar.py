@@ -212,7 +212,7 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     discard(lists)
 
     # 4. whole overlaps, where both sets are
-    edges = _verified(pairs, classes, docs, levels).unionByName(_small_pairs(classes.filter(F.col("n") <= SMALL).select(F.col("id").alias("cls"), "n", "sh"), b).select("a", "b"))
+    edges = _verified(pairs, members, classes, docs, levels).unionByName(_small_pairs(classes.filter(F.col("n") <= SMALL).select(F.col("id").alias("cls"), "n", "sh"), b).select("a", "b"))
     edges = written(edges.distinct(), "links")
     discard(pairs)
 
@@ -229,7 +229,7 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     return j.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(empty, 0).otherwise(F.col("n_similar")).cast("long").alias("n_similar"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row", "comp")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, levels) -> DataFrame:
+def _verified(pairs: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, levels) -> DataFrame:
     """Pairs whose overlap suffices. Both sets of a pair lie in one partition, by group and square."""
     spark = pairs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -240,17 +240,22 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, levels) ->
     p = p.join(cut, "g").select(F.xxhash64("g", F.pmod(F.xxhash64("a"), "cut"), F.pmod(F.xxhash64("b"), "cut")).alias("g"), "a", "b")
     p = written(p, "squares")
     ends = p.select("g", F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(True).alias("left")), F.struct(F.col("b").alias("id"), F.lit(False).alias("left")))).alias("x")).select("g", "x.*").distinct()
-    wanted = written(classes.join(ends.select("id").distinct(), "id").select("row", "id"), "wanted")
-    if wanted.count() <= FEW:  # 24 bytes a row
-        rows = F.broadcast(wanted)
-    else:
-        rows = wanted
-    sets = docs.withColumn("row", row_key("doc_id", "text")).join(rows, "row").dropDuplicates(["id"]).select("id", shingles(F.col("text"), levels).alias("sh"))
+    repeated = members.groupBy("row").count().filter("count > 1").select("row", F.lit(True).alias("repeated"))
+    wanted = classes.join(ends.select("id").distinct(), "id").select("row", "id").join(repeated, "row", "left")
+    wanted = written(wanted.select("row", "id", F.coalesce("repeated", F.lit(False)).alias("repeated")), "wanted")
+    few = wanted.count() <= FEW  # 25 bytes a row
+    keyed = docs.withColumn("row", row_key("doc_id", "text"))
+
+    def of(some):
+        return keyed.join(F.broadcast(some) if few else some, "row")
+
+    # only texts of rows that are alike have to meet
+    sets = of(wanted.filter("not repeated")).unionByName(of(wanted.filter("repeated")).dropDuplicates(["id"])).select("id", shingles(F.col("text"), levels).alias("sh"))
     sets = written(sets, "candidate-sets")
     # in a session of its own, where one shuffle by g serves both joins
     own = apart(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"})
     p, sets, ends = (again(own) for again in (p._again, sets._again, written(ends, "ends")._again))
-    at = ends.join(sets, "id")
+    at = sets.join(F.broadcast(ends) if ends.count() <= FEW else ends, "id")  # 17 bytes a row
     left = at.filter("left").select("g", F.col("id").alias("a"), F.col("sh").alias("sa"))
     right = at.filter("not left").select("g", F.col("id").alias("b"), F.col("sh").alias("sb"))
     j = p.repartition(parts, "g").join(left.repartition(parts, "g"), ["g", "a"]).join(right.repartition(parts, "g"), ["g", "b"])
