@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from public_tokenizers import path
 
-from trellis.llm import media, mixing, neighbours, passages, pieces, secrets, similar, tokenfile, toxicity, warc
+from trellis.llm import families, media, mixing, neighbours, passages, pieces, secrets, similar, tokenfile, toxicity, warc
 from trellis.llm.common import work_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -494,6 +494,46 @@ def test_similar(docs):
     assert similar.linked(empty(docs)).count() == 0
 
 
+def test_families(spark, monkeypatch):
+    """Near copies of a few texts, nearer and farther ones: every link and component as by brute force, few pairs looked at."""
+    r = random.Random(11)
+    vocab = ["".join(r.choices("abcdefgh", k=6)) for _ in range(400)]
+    bases, texts = [r.choices(vocab, k=n) for n in (60, 90, 40)], []
+    bases.append(bases[0][:45] + bases[2][:15])  # half of two others
+    for base in bases:
+        for k in range(70):
+            w = list(base)
+            for _ in range(r.choice((0, 1, 2, 3, len(w) // 9, len(w) // 6))):
+                w[r.randrange(len(w))] = r.choice(vocab)
+            texts.append(" ".join(w[: len(w) - r.choice((0, 0, 0, 9, 25))]))
+    texts += [" ".join(r.choices(vocab, k=r.randint(1, 60))) for _ in range(40)] + texts[:9]
+    sets = [frozenset(zip(w, w[1:])) if len(w := t.split()) > 1 else frozenset(w) for t in texts]
+    ids = range(len(texts))
+    near = {a: {b for b in ids if a != b and 100 * (i := len(sets[a] & sets[b])) >= 60 * (len(sets[a]) + len(sets[b]) - i)} for a in ids}
+    comp: dict[int, int] = {}
+    for a in ids:
+        todo = [a]
+        while todo:
+            if (x := todo.pop()) not in comp:
+                comp[x] = a
+                todo += near[x]
+    d = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    looked = Counter()
+    first = similar.written
+
+    def counted(df, name):
+        out = first(df, name)
+        looked[name] += out.count()
+        return out
+
+    monkeypatch.setattr(similar, "written", counted)
+    monkeypatch.setattr(families, "MANY", 12)
+    assert sorted(map(tuple, similar.linked(d).collect())) == [(a, len(sets[a]), len(near[a]), comp[a]) for a in ids]
+    links = len({(sets[a], sets[b]) for a in ids for b in near[a] if sets[a] != sets[b]}) // 2
+    assert links > 2000 and looked["candidates"] < links / 2 and looked["links"] < links * 2 / 3, (links, looked)
+    assert sorted(x["doc_id"] for x in similar.keep_one(d).collect()) == sorted(set(comp.values()))
+
+
 def test_keep_one(spark):
     """One row of each group of near copies, also where rows of one doc_id hold different texts."""
     a, b, c = ("alpha beta gamma delta", "one two three four", "red green blue white")

@@ -38,6 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import families
 from .common import apart, discard, fresh, n_words, row_key, table, words, written
 
 SMALL, LAST = 8, 4
@@ -156,8 +157,9 @@ def linked(docs: DataFrame) -> DataFrame:
     return linked_rows(docs).drop("row", "comp")
 
 
-def linked_rows(docs: DataFrame) -> DataFrame:
-    """The same with row, the row_key, and comp, the component, null for documents without shingles."""
+def linked_rows(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """The same with row, the row_key, and comp, the component, null for documents without shingles. Without counts, links
+    that can't change a component aren't looked for, and n_similar is null."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     levels = word_levels(docs)
 
@@ -165,11 +167,11 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", row_key("doc_id", "text").alias("row"), shingles(F.col("text"), levels).alias("sh"))
     n = F.size("sh")
     kept = F.when(n <= SMALL, F.col("sh")).otherwise(F.slice("sh", F.lit(1), prefix_length(n)))
-    sets = written(d.select(F.monotonically_increasing_id().alias("id"), "doc_id", "row", n.alias("n"), F.xxhash64("sh").alias("cls"), kept.alias("sh")), "sets")
-    members = written(sets.drop("sh"), "members")
+    sets = written(d.select(F.monotonically_increasing_id().alias("id"), "doc_id", "row", n.alias("n"), F.xxhash64("sh").alias("cls"), kept.alias("sh"), F.when(n > SMALL, families.least_hashes(F.col("sh"))).alias("low")), "sets")
+    members = written(sets.drop("sh", "low"), "members")
     one = F.min(F.struct("id", "row")).alias("one")
-    classes = sets.withColumn("sh", F.when(F.col("n") <= SMALL, F.col("sh"))).filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("rep"), one, F.max("sh").alias("sh"))
-    classes = written(classes.select("cls", "n", "copies", "rep", "one.*", "sh"), "classes")
+    classes = sets.withColumn("sh", F.when(F.col("n") <= SMALL, F.col("sh"))).filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("rep"), one, F.max("sh").alias("sh"), F.max("low").alias("low"))
+    classes = written(classes.select("cls", "n", "copies", "rep", "one.*", "sh", "low"), "classes")
     copies = written(members.join(classes.filter("copies > 1").select("cls", F.col("id").alias("own")), "cls").filter("id <> own").select("id"), "copies")
     small = copies.count() <= FEW  # 8 bytes a row
     one_each = sets.filter("n > 0").join(F.broadcast(copies) if small else copies, "id", "left_anti")
@@ -187,19 +189,25 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     b = boundary(enum, {r["n"]: r["cost"] for r in few.collect()})  # SMALL rows
     discard(sets, copies)
 
-    # 3. candidates
+    # 3. families
+    family = families.found(classes.filter(F.col("n") > SMALL).select("id", "copies", "low"), lambda ids: _whole_sets(ids, members, classes, docs, levels))
+
+    # 4. candidates
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "e"))  # of a set's own entries, most frequent first
     n = size("e")
     lists = shared.withColumn("rank", rank).filter(F.col("rank") > slack(n))
     # what the join asks of each set, in one integer and by integer arithmetic, so that it stays a small loop
     facts = [(F.col("rank"), 0), (slack(n), 16), (depth(n), 29), (n - prefix_length(n), 43)]
-    lists = written(lists.select("e", "id", sum((F.shiftleft(x.cast("long"), k) for x, k in facts), F.lit(0).cast("long")).alias("f")), "lists")
+    lists = lists.select("e", "id", sum((F.shiftleft(x.cast("long"), k) for x, k in facts), F.lit(0).cast("long")).alias("f"))
+    if family is not None:
+        fam = family.select("id", "fam")
+        lists = lists.join(F.broadcast(fam) if fam.count() <= FEW else fam, "id", "left")  # 16 bytes a row
+    lists = written(lists, "lists")
     discard(shared)
-    l, r = lists.select(F.col("id").alias("a"), F.col("e").alias("l"), F.col("f").alias("fl")), lists.select(F.col("id").alias("b"), F.col("e").alias("r"), F.col("f").alias("fr"))
     fact = lambda c, at, bits: F.shiftright(c, at).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     both = lambda f, at, bits: f(fact("fl", at, bits), fact("fr", at, bits))
     na, nb = size("l"), size("r")
-    fits = (F.col("a") < F.col("b")) & (5 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (F.greatest(na, nb) > b)
+    fits = (5 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (F.greatest(na, nb) > b)
     overlap = F.shiftright(3 * (na + nb) + 7, 3)  # least_overlap
     # tokens that the set whose prefix ends first holds there are in the other's prefix too: all others lie behind it
     met = F.greatest(F.least(both(F.least, 29, 14), overlap), overlap - both(F.greatest, 43, 18))
@@ -207,41 +215,57 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     low = both(F.greatest, 16, 13) + 1
     met = F.when(F.greatest(na, nb) == 0xFFFF, low).otherwise(met)  # sizes beyond aren't known here
     from_ = F.greatest(met - LAST + 1, low)
-    pairs = l.join(r, (tok("l") == tok("r")) & fits & (both(F.least, 0, 16) >= from_)).groupBy("a", "b").agg(F.count("*").alias("k"), F.first(met - from_ + 1).alias("need"))
+    fits = fits & (both(F.least, 0, 16) >= from_)
+    left = lambda d, *more: d.select(F.col("id").alias("a"), F.col("e").alias("l"), F.col("f").alias("fl"), *more)
+    right = lambda d, *more: d.select(F.col("id").alias("b"), F.col("e").alias("r"), F.col("f").alias("fr"), *more)
+    need = (met - from_ + 1).alias("need")
+    if family is None:
+        hits = left(lists).join(right(lists), (tok("l") == tok("r")) & (F.col("a") < F.col("b")) & fits).select("a", "b", need)
+    else:
+        alone, within = lists.filter("fam IS NULL"), lists.filter("fam IS NOT NULL")
+        hits = left(alone).join(right(alone), (tok("l") == tok("r")) & (F.col("a") < F.col("b")) & fits).select("a", "b", need)
+        ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        hits = hits.unionByName(left(within).join(right(alone), (tok("l") == tok("r")) & fits).select(*ends, need))
+        # members of one family never meet here
+        fam = within.select(tok("e").alias("tok"), "fam").distinct()
+        two = fam.withColumnRenamed("fam", "fa").join(fam.withColumnRenamed("fam", "fb"), "tok").filter("fa < fb")
+        j = two.join(left(within.withColumnRenamed("fam", "fa"), "fa").withColumn("tok", tok("l")), ["tok", "fa"])
+        j = j.join(right(within.withColumnRenamed("fam", "fb"), "fb").withColumn("tok", tok("r")), ["tok", "fb"]).filter(fits)
+        hits = hits.unionByName(j.select(*ends, need))
+    pairs = hits.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("need").alias("need"))
     pairs = written(pairs.filter("k >= need").select("a", "b"), "candidates")
     discard(lists)
 
-    # 4. whole overlaps, where both sets are
+    # 5. whole overlaps, where both sets are
     edges = _verified(pairs, members, classes, docs, levels).unionByName(_small_pairs(classes.filter(F.col("n") <= SMALL).select(F.col("id").alias("cls"), "n", "sh"), b).select("a", "b"))
+    if family is not None:
+        edges = edges.unionByName(families.uncertain(family, counts))
     edges = written(edges.distinct(), "links")
     discard(pairs)
 
-    # 5. counts and components
-    ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = ways.join(classes.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("near"))
-    comp = components(edges)
+    # 6. counts and components
+    if counts:
+        ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = ways.join(classes.select(F.col("id").alias("b"), "copies"), "b").select(F.col("a").alias("id"), F.col("copies").alias("near"))
+        if family is not None:
+            near = near.unionByName(families.certain(family).withColumnRenamed("sure", "near"))
+        near = near.groupBy("id").agg(F.sum("near").alias("near"))
+    else:
+        near = classes.select("id", F.lit(None).cast("long").alias("near")).limit(0)
+    comp = components(edges if family is None else edges.unionByName(families.stars(family)))
     mine = classes.select("cls", "id", "rep", "copies").join(comp.withColumnRenamed("node", "id"), "id", "left").join(near, "id", "left")
     mine = written(mine.withColumn("comp", F.coalesce("comp", "id")), "class-links")
     ids = mine.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of = mine.join(ids, "comp").select("cls", "comp", "component_id", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_similar"))
+    of = mine.join(ids, "comp").select("cls", "comp", "component_id", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1 if counts else F.lit(None)).alias("n_similar"))
     j = members.join(of, "cls", "left")
     empty = F.col("n") == 0
-    return j.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(empty, 0).otherwise(F.col("n_similar")).cast("long").alias("n_similar"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row", "comp")
+    return j.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(empty & F.lit(counts), 0).otherwise(F.col("n_similar")).cast("long").alias("n_similar"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row", "comp")
 
 
-def _verified(pairs: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, levels) -> DataFrame:
-    """Pairs whose overlap suffices. Both sets of a pair lie in one partition, by group and square."""
-    spark = pairs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = ways.groupBy("a").agg(F.least("a", F.min("b")).alias("g"))
-    p = pairs.join(least, "a")
-    cut = p.groupBy("g").agg(F.ceil(F.sqrt(F.count("*") / PAIRS)).cast("int").alias("cut"))
-    p = p.join(cut, "g").select(F.xxhash64("g", F.pmod(F.xxhash64("a"), "cut"), F.pmod(F.xxhash64("b"), "cut")).alias("g"), "a", "b")
-    p = written(p, "squares")
-    ends = p.select("g", F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(True).alias("left")), F.struct(F.col("b").alias("id"), F.lit(False).alias("left")))).alias("x")).select("g", "x.*").distinct()
+def _whole_sets(ids: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, levels) -> DataFrame:
+    """(id, sh): the whole sets of the classes in ids, shingled again from one text of each."""
     repeated = members.groupBy("row").count().filter("count > 1").select("row", F.lit(True).alias("repeated"))
-    wanted = classes.join(ends.select("id").distinct(), "id").select("row", "id").join(repeated, "row", "left")
+    wanted = classes.join(ids, "id").select("row", "id").join(repeated, "row", "left")
     wanted = written(wanted.select("row", "id", F.coalesce("repeated", F.lit(False)).alias("repeated")), "wanted")
     few = wanted.count() <= FEW  # 25 bytes a row
     keyed = docs.withColumn("row", row_key("doc_id", "text"))
@@ -252,6 +276,22 @@ def _verified(pairs: DataFrame, members: DataFrame, classes: DataFrame, docs: Da
     # only texts of rows that are alike have to meet
     sets = of(wanted.filter("not repeated")).unionByName(of(wanted.filter("repeated")).dropDuplicates(["id"])).select("id", shingles(F.col("text"), levels).alias("sh"))
     sets = written(sets, "candidate-sets")
+    discard(wanted)
+    return sets
+
+
+def _verified(pairs: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, levels) -> DataFrame:
+    """Pairs whose overlap suffices. Both sets of a pair lie in one partition, by group and square."""
+    spark = pairs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = ways.groupBy("a").agg(F.least("a", F.min("b")).alias("g"))
+    p = pairs.join(least, "a")
+    cut = p.groupBy("g").agg(F.ceil(F.sqrt(F.count("*") / PAIRS)).cast("int").alias("cut"))
+    p = p.join(cut, "g").select(F.xxhash64("g", F.pmod(F.xxhash64("a"), "cut"), F.pmod(F.xxhash64("b"), "cut")).alias("g"), "a", "b")
+    p = written(p, "squares")
+    ends = p.select("g", F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(True).alias("left")), F.struct(F.col("b").alias("id"), F.lit(False).alias("left")))).alias("x")).select("g", "x.*").distinct()
+    sets = _whole_sets(ends.select("id").distinct(), members, classes, docs, levels)
     # in a session of its own, where one shuffle by g serves both joins
     own = apart(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"})
     p, sets, ends = (again(own) for again in (p._again, sets._again, written(ends, "ends")._again))
