@@ -531,7 +531,10 @@ def test_families(spark, monkeypatch):
     assert sorted(map(tuple, similar.linked(d).collect())) == [(a, len(sets[a]), len(near[a]), comp[a]) for a in ids]
     links = len({(sets[a], sets[b]) for a in ids for b in near[a] if sets[a] != sets[b]}) // 2
     assert links > 2000 and looked["candidates"] < links / 2 and looked["links"] < links * 2 / 3, (links, looked)
+    counted_links = looked["links"]
+    looked.clear()
     assert sorted(x["doc_id"] for x in similar.keep_one(d).collect()) == sorted(set(comp.values()))
+    assert 0 < looked["links"] < counted_links, (counted_links, looked)
 
 
 def test_keep_one(spark):

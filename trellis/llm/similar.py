@@ -314,7 +314,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, that with the smallest doc_id (a null one last), of these that with the smallest row
     key; rows without shingles all stay. Keeps docs' columns, whatever their names."""
     row = fresh("row")
-    at = linked_rows(docs.select("doc_id", "text")).filter("comp IS NOT NULL")
+    at = linked_rows(docs.select("doc_id", "text"), counts=False).filter("comp IS NOT NULL")
     best = at.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
     best = best.select(F.col("best.row").alias("row")).join(at.groupBy("row").count(), "row")
     best = written(best.select(F.col("row").alias(row), "count"), "kept")
