@@ -58,14 +58,16 @@ def slot(word_hash):
 
 
 def word_levels(docs: DataFrame):
-    """Column: a literal array of SLOTS levels, 16 to an integer. Counts all words of all documents."""
+    """Column: an array of SLOTS levels, 16 to an integer; a scalar subquery, as a literal of that size would fill the driver with
+    the texts of plans. It can't stand within a lambda, so it is selected first. Counts all words of all documents."""
     w = docs.select(F.explode(words(lowered(F.col("text")))).alias("w"))
     counts = w.select(slot(F.xxhash64("w")).alias("slot")).groupBy("slot").count().toArrow()  # SLOTS rows at most
     n = np.zeros(SLOTS)
     n[counts.column("slot").to_numpy()] = counts.column("count").to_numpy()
     level = np.clip(np.round(np.log2(np.maximum(n, 1) / max(1.0, n.sum() / SLOTS)) + 3), 0, 15).astype(np.uint64)
     packed = np.bitwise_or.reduce(level.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64)
-    return F.split(F.lit(",".join(map(str, packed.tolist()))), ",").cast("array<bigint>")
+    array = F.split(F.lit(",".join(map(str, packed.tolist()))), ",").cast("array<bigint>")
+    return written(docs.sparkSession.range(1).select(array.alias("levels")), "levels").scalar()
 
 
 def shingles(text, levels):
@@ -164,7 +166,7 @@ def linked_rows(docs: DataFrame, counts: bool = True) -> DataFrame:
     levels = word_levels(docs)
 
     # 2. prefixes, and whole sets of SMALL shingles
-    d = docs.select("doc_id", row_key("doc_id", "text").alias("row"), shingles(F.col("text"), levels).alias("sh"))
+    d = docs.select("*", levels.alias("levels")).select("doc_id", row_key("doc_id", "text").alias("row"), shingles(F.col("text"), F.col("levels")).alias("sh"))
     n = F.size("sh")
     kept = F.when(n <= SMALL, F.col("sh")).otherwise(F.slice("sh", F.lit(1), prefix_length(n)))
     sets = written(d.select(F.monotonically_increasing_id().alias("id"), "doc_id", "row", n.alias("n"), F.xxhash64("sh").alias("cls"), kept.alias("sh"), F.when(n > SMALL, families.least_hashes(F.col("sh"))).alias("low")), "sets")
@@ -274,7 +276,8 @@ def _whole_sets(ids: DataFrame, members: DataFrame, classes: DataFrame, docs: Da
         return keyed.join(F.broadcast(some) if few else some, "row")
 
     # only texts of rows that are alike have to meet
-    sets = of(wanted.filter("not repeated")).unionByName(of(wanted.filter("repeated")).dropDuplicates(["id"])).select("id", shingles(F.col("text"), levels).alias("sh"))
+    sets = of(wanted.filter("not repeated")).unionByName(of(wanted.filter("repeated")).dropDuplicates(["id"]))
+    sets = sets.select("id", "text", levels.alias("levels")).select("id", shingles(F.col("text"), F.col("levels")).alias("sh"))
     sets = written(sets, "candidate-sets")
     discard(wanted)
     return sets
