@@ -537,6 +537,13 @@ def test_families(spark, monkeypatch):
     assert 0 < looked["links"] < counted_links, (counted_links, looked)
 
 
+def test_levels_stay_out_of_plans(docs):
+    """The text of a plan that shingles doesn't hold the levels of all slots."""
+    d = docs.select("text", similar.word_levels(docs).alias("levels"))
+    plan = d.select(similar.shingles(d["text"], d["levels"]).alias("sh"))._jdf.queryExecution().toString()
+    assert len(plan) < 50_000
+
+
 def test_keep_one(spark):
     """One row of each group of near copies, also where rows of one doc_id hold different texts."""
     a, b, c = ("alpha beta gamma delta", "one two three four", "red green blue white")
