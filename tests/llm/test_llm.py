@@ -125,6 +125,26 @@ def test_learned_groups(spark):
     assert report["rows"] == len(train)
 
 
+def test_fit_gets_chosen_features_only(spark, monkeypatch):
+    """Of more features than the model takes, only the chosen ones reach the driver, and the model is that of whole feature sets."""
+    r = random.Random(6)
+    vocab = ["".join(r.choices("abcdefgh", k=6)) for _ in range(600)]
+    rows = [(i % 290, " ".join(r.choices(vocab, k=30) + ["women"] * (i % 3 == 0) + ["idiot"] * (i % 290 % 5 == 0))) for i in range(300)] + [(290, None), (291, "")]
+    toxic = {i: int(i % 5 == 0) for i in range(292)}
+    train = [(i, t or "") for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    sets = [toxicity.ids_of(toxicity.text_features(t)) for _, t in train]
+    assert len(np.unique(np.concatenate(sets))) > toxicity.FEATURES
+    seen, report, fit = [], {}, toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows, twins, *a, **k: seen.extend([*rows, *(x for x in twins if x is not None)]) or fit(rows, twins, *a, **k))
+    got = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([*toxic.items()], "doc_id long, toxic int"), report=report)
+    assert report["rows"] == len(train) and report["pairs"] > 0
+    assert len(np.unique(np.concatenate(seen))) <= toxicity.FEATURES < sum(len(x) for x in seen)
+    terms = toxicity.swaps([*toxicity.IDENTITY, *report["sets"]])
+    twins = [None if (s := toxicity.swapped(t, i, terms)) is None else toxicity.ids_of(toxicity.text_features(s)) for i, t in train]
+    weights, bias = fit(sets, twins, [toxic[i] for i, _ in train], terms=terms)
+    assert got[0] == pytest.approx(weights, abs=1e-6) and got[1] == pytest.approx(bias, abs=1e-6) and len(weights) > 0
+
+
 def test_keep_clean(spark):
     """Rows that the model rejects go, all others stay as they are, with columns named as the operator's own."""
     rows = [(i, "river stone " + ("idiot " if i % 5 == 0 else "") + f"w{i % 9}", 1.5) for i in range(200)] + [(None, None, 2.5), (300, "", 2.5), (301, "river", 2.5), (301, "river", 2.5)]

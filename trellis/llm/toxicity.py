@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, ship, table, written
+from .common import discard, fresh, ship, table, written
 
 SAMPLE = 10_000
 FEATURES = 1024
@@ -164,9 +164,31 @@ def fit(rows: list[np.ndarray], twins: list[np.ndarray | None], y, features: int
     return {int(f): float(x) for f, x in zip(known, w) if abs(x) > 1e-4}, b
 
 
+def chosen(rows: DataFrame, n: int, toxic: int, always: np.ndarray, features: int = FEATURES) -> list[int]:
+    """The features that `fit` chooses from n rows (own: feature numbers as bytes, toxic), told apart on the executors."""
+    rate = toxic / n if n else 0.0
+
+    def counted(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            own = [np.frombuffer(x.as_py(), np.uint32) for x in b.column(0)]
+            y = np.repeat(b.column(1).to_numpy(), [len(x) for x in own]).astype(float)
+            known, inv = np.unique(np.concatenate([np.array([], np.uint32), *own]), return_inverse=True)
+            df, a = np.bincount(inv, minlength=len(known)), np.bincount(inv, y, len(known))
+            yield pa.RecordBatch.from_arrays([pa.array(known, pa.int64()), pa.array(df, pa.int64()), pa.array(a, pa.float64())], ["f", "df", "a"])
+
+    c = rows.select("own", "toxic").mapInArrow(counted, "f long, df long, a double").groupBy("f").agg(F.sum("df").alias("df"), F.sum("a").alias("a"))
+    off = F.col("a") - F.col("df") * F.lit(rate)
+    chi = F.lit(0.0) if rate in (0.0, 1.0) else F.when(F.col("df") >= 3, off * off / (F.col("df") * F.lit(rate) * F.lit(1 - rate))).otherwise(0.0)
+    chi = F.when(F.col("f").isin(always.tolist()), F.lit(math.inf)).otherwise(chi)
+    return [x["f"] for x in c.select("f", chi.alias("chi")).orderBy(F.desc("chi"), "f").limit(features).collect()]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identity=IDENTITY, weight: float = COUNTERFACTUAL, report: dict | None = None) -> tuple[dict[int, float], float]:
-    """Fit on at most `sample` labelled rows of the training folds. Feature numbers and LEARNED terms' counts reach the
-    driver, not texts. report, if given, gets rows, pairs (texts with a swapped twin) and the learned sets."""
+    """Fit on at most `sample` labelled rows of the training folds. Numbers of the FEATURES chosen ones and LEARNED terms' counts
+    reach the driver, neither texts nor their other features. report, if given, gets rows, pairs (texts with a swapped twin) and
+    the learned sets."""
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     # which rows: settled on ids alone, so that texts are read for the sample and nothing else moves
     lab = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held)
@@ -192,8 +214,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identity=IDE
                 twin.append(None if x is None else ids_of(text_features(x)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary()), pa.array(twin, pa.binary()), b.column(2)], ["doc_id", "own", "twin", "toxic"])
 
-    got = j.mapInArrow(numbered, "doc_id long, own binary, twin binary, toxic int").toArrow().to_pylist()
-    got.sort(key=lambda x: (x["doc_id"], x["own"], x["toxic"]))
+    every = written(j.mapInArrow(numbered, "doc_id long, own binary, twin binary, toxic int"), "features")
+    known = np.sort(np.array(chosen(every, n, toxic, ids_of(terms)), np.uint32))
+
+    def cut(batches):
+        import pyarrow as pa
+
+        def only(x):
+            if x is None:
+                return None
+            x = np.frombuffer(x, np.uint32)
+            return x[np.isin(x, known, assume_unique=True)].tobytes()
+
+        for b in batches:
+            own, twin = ([only(x.as_py()) for x in b.column(i)] for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary()), pa.array(twin, pa.binary()), b.column(3)], ["doc_id", "own", "twin", "toxic"])
+
+    got = every.mapInArrow(cut, every.schema).toArrow().to_pylist()
+    discard(j, every)
+    got.sort(key=lambda x: (x["doc_id"], x["own"], x["twin"] or b"", x["toxic"]))
     arr = lambda x: None if x is None else np.frombuffer(x, np.uint32)
     if report is not None:
         report |= {"rows": n, "pairs": sum(x["twin"] is not None for x in got), "sets": sets}
