@@ -14,7 +14,7 @@ import pytest
 from public_tokenizers import path
 
 from trellis.llm import families, media, mixing, neighbours, passages, pieces, secrets, similar, tokenfile, toxicity, warc
-from trellis.llm.common import work_dir
+from trellis.llm.common import kept, release, work_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+").findall
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string"
@@ -243,6 +243,37 @@ def test_automaton_locates(docs, monkeypatch):
     assert near_copies
 
 
+def test_piece_stretches():
+    """Rows of an Arrow batch become Python strings a bounded number at a time, whole and in order."""
+    import pyarrow as pa
+
+    texts = [None, "", "é" * 7, "ab c", None, "x" * 30, "y", "\U0001F600" * 4]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *range(1, len(texts))], pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    for most in (1, 7, 11, 1000):
+        parts = list(pieces.stretches(batch, most))
+        assert [x for _, p in parts for x in p] == [t or "" for t in texts] and [k for p, _ in parts for k in p] == [None, *range(1, len(texts))]
+        assert all(len(p) == 1 or sum(map(len, p)) <= most for _, p in parts)
+    assert len(parts) == 1 and list(pieces.stretches(batch.slice(0, 0))) == []
+
+
+def test_kept():
+    """One object of a worker process serves tasks alike; another kind of task lets it go."""
+    release()
+    a = kept(list, (1, 2))
+    assert kept(list, (1, 2)) is a and kept(set, (1, 2)) == {1, 2} and kept(list, (1, 2)) is not a
+    b = kept(list, (1, 2))
+    release()
+    assert kept(list, (1, 2)) is not b
+    release()
+
+
+def test_lattices_grow():
+    """Room is added without touching it, and what is there stays."""
+    x = pieces.grown(np.arange(4, dtype=np.int32), 3, 9)
+    assert len(x) == 9 and x.dtype == np.int32 and x.tolist() == [0, 1, 2, 0, 0, 0, 0, 0, 0]
+    assert len(pieces.grown(x, 9, 10)) == 18 and pieces.grown(x, 9, 9) is x
+
+
 def test_stretches():
     """Windows and anchors of a text don't depend on how it is cut."""
     r = random.Random(9)

@@ -36,6 +36,23 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
+_kept: list = []
+
+
+def kept(make, *args):
+    """make(*args), one object per worker process, so that what one task worked out serves the next. Workers outlive a stage:
+    the object goes as another one is asked for, or by `release`."""
+    if not _kept or _kept[0] != (make, args):
+        release()
+        _kept[:] = [(make, args), make(*args)]
+    return _kept[1]
+
+
+def release() -> None:
+    """Let go of what another operator's tasks kept in this worker process."""
+    _kept.clear()
+
+
 def apart(spark: SparkSession, conf: dict[str, str]) -> SparkSession:
     """A session of the same application with spark's SQL settings and those of conf; spark's own stay as they are."""
     own = spark.newSession()

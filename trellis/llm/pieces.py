@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import kept, ship, table
 
 SEED, THETA, KEPT = 2024, 1.0, 6_000_000
 CHUNK = r"\n| *[^ \n]+| +"
@@ -121,6 +121,15 @@ def draws(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (z >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def grown(x: np.ndarray, used: int, size: int) -> np.ndarray:
+    """x with room for size elements, of which the first used ones count. Memory behind them is not touched, so it isn't taken yet."""
+    if size <= len(x):
+        return x
+    out = np.zeros(max(size, 2 * len(x)), x.dtype)
+    out[:used] = x[:used]
+    return out
+
+
 class Lattices:
     """Forward sums and cumulative backward probabilities of the chunks met so far."""
 
@@ -138,10 +147,8 @@ class Lattices:
     def _append(self, counts, cum, piece, back) -> int:
         """Add nodes with so many edges each; returns the number of the first one."""
         b, e, n, m = self.nodes, self.edges, len(counts), len(cum)
-        while b + n > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        while e + m > len(self.cum):
-            self.cum, self.edge = (np.concatenate([x, np.zeros_like(x)]) for x in (self.cum, self.edge))
+        self.first = grown(self.first, b, b + n)
+        self.cum, self.edge = grown(self.cum, e, e + m), grown(self.edge, e, e + m)
         self.first[b : b + n] = e + np.cumsum(counts) - counts
         self.cum[e : e + m] = cum
         self.edge[e : e + m] = np.asarray(piece, np.int32) * 32 + np.asarray(back, np.int32)
@@ -220,10 +227,10 @@ class Lattices:
             own[:, cols] *= alpha[sel[:, None] + cols]
             w[sel] = own
             alpha[sel + longest] = own.sum(1)
-        cum = np.cumsum(w, axis=1)
-        cum /= cum[:, -1:]
-        cum[:, -1] = 1.0
         there = w > 0
+        cum = np.cumsum(w, axis=1, out=w)
+        cum /= cum[:, -1:].copy()
+        cum[:, -1] = 1.0
         counts = np.zeros(n + len(chunks), np.int64)
         counts[np.arange(n) + np.repeat(np.arange(len(chunks)), length) + 1] = there.sum(1)
         b = self._append(counts, cum[there], ids[there], np.broadcast_to(back, w.shape)[there])
@@ -296,26 +303,26 @@ class Sampler:
         return np.concatenate([*parts, ids[last:]])
 
 
-_samplers: dict[tuple, Sampler] = {}
-
-
 def sampler(*args) -> Sampler:
     """One per worker process, so that the chunks met by one task serve the next."""
-    if args not in _samplers:
-        _samplers[args] = Sampler(*args)
-    return _samplers[args]
+    return kept(Sampler, *args)
+
 
+def stretches(batch, most: int = BATCH):
+    """(keys, texts) of consecutive rows of an Arrow batch, null texts as empty ones: at most `most` characters together, or one
+    row. Only these rows are Python strings at a time."""
+    import pyarrow.compute as pc
 
-def stretches(keys: list, texts: list, most: int = BATCH):
-    """Consecutive rows of at most `most` characters together, or one row."""
     a, n = 0, 0
-    for b, t in enumerate(texts):
-        if b > a and n + len(t) > most:
-            yield keys[a:b], texts[a:b]
+    lengths = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
+    part = lambda a, b: (batch.column(0)[a:b].to_pylist(), [t or "" for t in batch.column(1)[a:b].to_pylist()])
+    for b, k in enumerate(lengths):
+        if b > a and n + k > most:
+            yield part(a, b)
             a, n = b, 0
-        n += len(t)
-    if a < len(texts):
-        yield keys[a:], texts[a:]
+        n += k
+    if a < len(lengths):
+        yield part(a, len(lengths))
 
 
 def encoded(docs: DataFrame, model: str, seed: int = SEED, theta: float = THETA) -> DataFrame:
@@ -327,7 +334,7 @@ def encoded(docs: DataFrame, model: str, seed: int = SEED, theta: float = THETA)
 
         s = sampler(model, seed, theta)
         for b in batches:
-            for keys, texts in stretches(b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]):
+            for keys, texts in stretches(b):
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(s(keys, texts), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -356,7 +363,7 @@ def digested(docs: DataFrame, model: str, seed: int = SEED, theta: float = THETA
 
         s = sampler(model, seed, theta)
         for b in batches:
-            for keys, texts in stretches(b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]):
+            for keys, texts in stretches(b):
                 ids = s(keys, texts)
                 same = [s.v.decode(x.tolist()) == t for x, t in zip(ids, texts)]
                 crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]

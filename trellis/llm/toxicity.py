@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, fresh, ship, table, written
+from .common import discard, fresh, release, ship, table, written
 
 SAMPLE = 10_000
 FEATURES = 1024
@@ -205,6 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identity=IDE
     def numbered(batches):
         import pyarrow as pa
 
+        release()
         for b in batches:
             own, twin = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
@@ -274,6 +275,7 @@ def scored(docs: DataFrame, model: tuple[dict[int, float], float], name: str = "
     def score(batches):
         import pyarrow as pa
 
+        release()
         s = Scorer(model)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s(t.as_py() or "") for t in b.column(at)], pa.float64())], names)
@@ -290,6 +292,7 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     def score(batches):
         import pyarrow as pa
 
+        release()
         s = Scorer(model)
         for b in batches:
             got = [s(t.as_py() or "") for t in b.column(2)]
