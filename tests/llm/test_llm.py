@@ -75,6 +75,22 @@ def test_token_files(spark, docs):
     assert tokenfile.read_shards(spark, tokenfile.write_shards(empty(docs), work_dir(spark, "t"), path("word_bpe_49k.json"))).count() == 0
 
 
+def test_token_files_keep_pieces_only():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tk, e, r = Tokenizer.from_file(path("word_bpe_49k.json")), tokenfile.BatchEncoder(path("word_bpe_49k.json")), random.Random(5)
+    base = ["river", "STONE", "caf\u00e9", "\u00c0nx", "it's", "12", "''ll", "\"'S", "--", "\u00ba\u00b2", "\u00ad", "\u0178\u017f"]
+    texts = [" ".join("".join(r.choices(base, k=6)) for _ in range(2000)) for _ in range(10)]
+    hard = ["", " \t", "\u0130x e\u0301", "a\u00a0b\x85c", "\u4e2d\u6587 \U0001f600", "\x02 a\x02b", "x <|endoftext|>y z", "\u0301", "<|endoftext|>", "\ud7ff\u1e9e \u039f\u03a3 \u00b5"]
+    for some in (texts, hard, [], [*texts[:2], *hard, *texts[2:3]]):
+        ids, each = e(pa.array(some, pa.string()), 2)
+        want = [[*tk.encode(t, add_special_tokens=False).ids, 2] for t in some]
+        assert each.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+    words = {w for t in texts for w in t.split()}
+    assert len(words) > 15_000 and e.n < len(words) / 4  # the words' pieces are kept, not the words
+
+
 def test_toxicity(spark):
     r = random.Random(1)
     text = lambda bad: " ".join(r.choices(["river", "stone", "cloud", "walk", "women", "bread"], k=20) + (["idiot"] if bad else []))

@@ -27,16 +27,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_fs, put_file, ship, table, work_dir
+from .common import kept, open_fs, put_file, release, ship, table, work_dir
 
 MAGIC = b"TRLEF001"
 HEAD = "<8sIIQQQ"
 END_ID = 2
-#: Words kept with their ids per worker; the store is emptied beyond it, so memory is bounded.
-KEPT = 500_000
+#: Pieces kept with their ids per worker; the store is emptied beyond it, so memory is bounded.
+KEPT = 400_000
 SAMPLE = 512
-#: Ids of a file; bytes of text that are encoded at once.
-SHARD_IDS, SLICE = 64 << 20, 4 << 20
+#: Ids of a file; bytes of text that are encoded at once; words whose ids are put together at once.
+SHARD_IDS, SLICE, STRETCH = 64 << 20, 16 << 20, 250_000
 
 
 class EliasFano:
@@ -99,16 +99,19 @@ BYTES = {b: chr(b) if b in _SHOWN else chr(256 + k) for b, k in [(b, 0) for b in
 
 #: A word that stands between others when many are encoded at once.
 MARK = "\x02"
+#: Words of characters that NFC leaves alone and that are lower-cased one by one: ASCII and European Latin letters and signs.
+EASY = "[!-~\u00a1-\u012f\u0131-\u017f]*"
 
 
 class BatchEncoder:
     """Ids of whole texts by the tokenizers library.
 
     Where the tokenizer joins nothing across ASCII white space and drops it, a text's ids are its words' ids in turn. Texts
-    are then split and their words told apart by Arrow; new words go to the library together, with MARK between them, and
-    are kept. Whether the tokenizer is of that kind is tried out at the start; if it isn't, and for texts that hold the
-    start of a special token, texts go to the library whole. Words of printable ASCII are cut by the pattern in the
-    tokenizer's own file, where it is of the form that `_pattern` knows, and only new pieces go to its model.
+    are then split, their words told apart and cut in pieces by Arrow, by the pattern in the tokenizer's own file; only new
+    pieces go to its model, and are kept. That holds for words of EASY characters and where the file is of the form that
+    `_pattern` knows; other new words go to the library together, with MARK between them. Whether the tokenizer is of either
+    kind is tried out at the start, on every EASY character; if it isn't, and for texts that hold the start of a special
+    token, texts go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -119,8 +122,7 @@ class BatchEncoder:
         self.tk.no_padding()
         self.special = sorted({t.content for t in self.tk.get_added_tokens_decoder().values()})
         self.dtype = np.dtype("<u2" if self.tk.get_vocab_size() < 65536 else "<u4")
-        self.pieces: dict[str, list[int]] = {}
-        self.printable = re.compile(r"[!-~]+").fullmatch
+        self.clear()
         self.cut = self._pattern()
         self.by_word = self._tried()
         self.clear()
@@ -128,50 +130,52 @@ class BatchEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tk.encode(text, add_special_tokens=False).ids
 
-    def _pattern(self):
-        """Finds the pieces of lower-case ASCII words, for byte-level BPE after lower-casing and one splitting pattern."""
+    def _pattern(self) -> str | None:
+        """What pieces of words are, for byte-level BPE after lower-casing and one splitting pattern."""
         d = json.loads(self.tk.to_str())
         norm, pre = d.get("normalizer") or {}, d.get("pre_tokenizer") or {}
         steps = [x.get("type") for x in norm.get("normalizers", [])]
         split = pre.get("pretokenizers", [])
         if set(steps) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in steps and [x.get("type") for x in split] == ["Split", "ByteLevel"]:
             if split[0].get("behavior") == "Removed" and split[0].get("invert") and not split[1].get("use_regex") and not split[1].get("add_prefix_space"):
-                pattern = split[0]["pattern"]["Regex"]
-                self.cut_any = regex.compile(pattern).findall
-                return re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
+                pattern = split[0]["pattern"].get("Regex")
+                if pattern:
+                    self.cut_any = regex.compile(pattern).findall
+                return pattern
         return None
 
     def _others(self, words: list[str]) -> list[list[int]] | None:
-        """Ids of words that aren't printable ASCII; None where normalizing them joins or parts words."""
+        """Ids of words that hold other than EASY characters; None where normalizing them joins or parts words."""
         normal = self.tk.normalizer.normalize_str(" ".join(words)).split(" ")
-        return [self._pieces(self.cut_any(w), lambda p: p.encode().decode("latin-1").translate(BYTES)) for w in normal] if len(normal) == len(words) else None
-
-    def _cut(self, w: str) -> list[int]:
-        return self._pieces(self.cut(w.lower()))
+        return [[k for p in self.cut_any(w) for k in self._piece(p)] for w in normal] if len(normal) == len(words) else None
 
-    def _pieces(self, pieces: list[str], mapped=None) -> list[int]:
-        out = []
-        for p in pieces:
-            ids = self.pieces.get(p)
-            if ids is None:
-                ids = self.pieces[p] = [t.id for t in self.tk.model.tokenize(mapped(p) if mapped else p)]
-            out += ids
-        return out
+    def _piece(self, p: str) -> list[int]:
+        return [t.id for t in self.tk.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(BYTES))]
 
     def _tried(self) -> bool:
+        import pyarrow as pa
+
         words = ["The", "cat's", "e\u0301t\u00e9", "\u0301x", "12,5", "don't", "\U0001f600!", "'s", "a\u00a0b", "STRASSE", "\u4e2d\u6587"]
         apart = [self._ids(w) for w in words]
         mark = self._ids(MARK)
         joined = [sum(apart, []), sum((x + mark for x in apart), [])]
-        plain = [w for w in ["The", "cat's", "12,5", "don't", "'s", "STRASSE", "a1B2--c''ll", "(x)", "#!9"] if self.cut]
-        others = [w for w in [*words, "na\u00efve's", "\u00c0\u00c9", "\u01c5", "\u0130x", "\ufb01", "\x85", "\u2014a"] if self.cut]
-        if any(self._cut(w) != self._ids(w) for w in plain) or any((self._others([w]) or [self._ids(w)]) != [self._ids(w)] for w in others):
-            self.cut = None
+        if self.cut:
+            plain = ["The", "cat's", "12,5", "don't", "'s", "I'LL", "'\"s", "STRASSE", "a1B2--c''ll", "(x)", "#!9", "na\u00efve's", "\u00c0\u00c9", "anticonstitutionnellement"]
+            plain += [f"{c}a{c}{c}b1{c}" for c in map(chr, range(33, 0x180)) if re.fullmatch(EASY, c)]
+            others = [*words, "\u01c5", "\u0130x", "\ufb01", "\x85", "\u2014a"]
+            try:
+                at, ends = self._cut(pa.array(plain))
+                found = [[k for e in at[i:j] for k in self._entry(e)] for i, j in itertools.pairwise([0, *ends])]
+            except pa.ArrowInvalid:  # Arrow doesn't know the pattern's syntax
+                found = None
+            if found != [self._ids(w) for w in plain] or any((self._others([w]) or [self._ids(w)]) != [self._ids(w)] for w in others):
+                self.cut = None
         return len(mark) == 1 and mark[0] not in sum(apart, []) and [self._ids(" \n".join(["", *words, ""])), self._ids(f" {MARK} ".join([*words, ""]))] == joined
 
     def clear(self):
         self.number: dict[str, int] = {}
-        self.start, self.length, self.flat, self.n, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, self.dtype), 0, 0
+        self.pieces: dict[str, int] = {}
+        self.start, self.length, self.flat, self.n, self.size = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, self.dtype), 0, 0
 
     def _keep(self, lengths: np.ndarray, ids: np.ndarray) -> int:
         """Add entries; returns the number of the first one."""
@@ -186,21 +190,20 @@ class BatchEncoder:
         self.n, self.size = a + n, self.size + m
         return a
 
+    def _keep_all(self, store: dict[str, int], names: list[str], found: list[list[int]]) -> None:
+        first = self._keep(np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(itertools.chain.from_iterable(found), np.int64))
+        store.update(zip(names, range(first, first + len(found))))
+
+    def _entry(self, k: int) -> list[int]:
+        return self.flat[self.start[k] : self.start[k] + self.length[k]].tolist()
+
     def _learn(self, words: list[str]) -> None:
         if self.cut:
-            if len(self.pieces) > KEPT:
-                self.pieces.clear()
-            own = [w for w in words if self.printable(w)]
-            found = list(map(self._cut, own))
-            first = self._keep(np.fromiter(map(len, found), np.int64, len(own)), np.fromiter(itertools.chain.from_iterable(found), np.int64))
-            self.number.update(zip(own, range(first, first + len(own))))
-            words = [w for w in words if w not in self.number]
             for i in range(0, len(words), 500):
                 part = words[i : i + 500]
                 found = self._others(part)
                 if found is not None:
-                    first = self._keep(np.fromiter(map(len, found), np.int64, len(part)), np.fromiter(itertools.chain.from_iterable(found), np.int64))
-                    self.number.update(zip(part, range(first, first + len(part))))
+                    self._keep_all(self.number, part, found)
             words = [w for w in words if w not in self.number]
         plain = [w for w in words if MARK not in w]
         for i in range(0, len(plain), 5000):
@@ -219,6 +222,41 @@ class BatchEncoder:
     def _mark(self) -> int:
         return self._ids(MARK)[0]
 
+    def _numbers(self, store: dict[str, int], names: list[str], learn) -> np.ndarray:
+        number = list(map(store.get, names))
+        if None in number:
+            learn([w for w, k in zip(names, number) if k is None])
+            number = list(map(store.__getitem__, names))
+        return np.array(number, np.int32)
+
+    def _cut(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """Words of EASY characters -> entries of their pieces, and where each word's end. Runs of letters are one piece."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        low = pc.utf8_lower(words)
+        more = pc.invert(pc.match_substring_regex(low, r"^\p{L}*$"))
+        low = pc.replace_with_mask(low, more, pc.replace_substring_regex(low.filter(more), f"({self.cut})", r"\1 "))
+        split = pc.ascii_split_whitespace(low)
+        pieces = split.flatten().dictionary_encode()
+        number = self._numbers(self.pieces, pieces.dictionary.to_pylist(), lambda new: self._keep_all(self.pieces, new, list(map(self._piece, new))))
+        ends = split.offsets.to_numpy()
+        return number[pieces.indices.to_numpy()], ends[1:] - ends[0]
+
+    def _entries(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """Different words -> entries that make up each, and where each word's end."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not self.cut:
+            return self._numbers(self.number, words.to_pylist(), self._learn), np.arange(1, len(words) + 1)
+        easy = pc.match_substring_regex(words, f"^(?:{EASY})$")
+        hard = ~easy.to_numpy(zero_copy_only=False)
+        at, ends = self._cut(pc.if_else(easy, words, pa.scalar("", words.type)) if hard.any() else words)
+        if hard.any():  # the empty word stands for it, as one empty piece
+            at[ends[hard] - 1] = self._numbers(self.number, words.filter(pa.array(hard)).to_pylist(), self._learn)
+        return at, ends
+
     def __call__(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """An Arrow array of texts without nulls -> all ids, each text's followed by end_id, and how many each text has."""
         import pyarrow as pa
@@ -235,39 +273,42 @@ class BatchEncoder:
         if whole.any():
             rest = pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts)
         split = pc.ascii_split_whitespace(rest)
-        words = split.flatten().dictionary_encode()
-        known = words.dictionary.to_pylist()
-        number = list(map(self.number.get, known))
-        if None in number:
-            self._learn([w for w, k in zip(known, number) if k is None])
-            number = list(map(self.number.__getitem__, known))
-        at = np.array(number, np.int64)[words.indices.to_numpy()] if known else np.zeros(0, np.int64)
-        ends = split.offsets.to_numpy().astype(np.int64)
+        ends = split.offsets.to_numpy()
         ends = ends[1:] - ends[0]
-        before = self.n, self.size
-        if whole.any():
-            found = [self._ids(texts[int(k)].as_py()) for k in np.flatnonzero(whole)]
-            first = self._keep(np.array([len(x) for x in found]), np.concatenate([np.array(x, np.int64) for x in found]))
-            at = np.insert(at, ends[whole], np.arange(first, first + len(found)))
-            ends = ends + np.cumsum(whole)
-        at = np.insert(at, ends, self._keep(np.array([1]), np.array([end_id])))
-        ends = ends + np.arange(1, len(ends) + 1)
-        length = self.length[at]
-        upto = np.concatenate([[0], np.cumsum(length)])
-        ids = self.flat[np.repeat(self.start[at] - upto[:-1], length) + np.arange(upto[-1])]
-        self.n, self.size = before
-        total = upto[ends]
-        return ids, np.diff(total, prepend=0)
-
-
-_encoders: dict[str, BatchEncoder] = {}
-
-
-def encoder(path: str) -> BatchEncoder:
-    """One per worker process, so that the words met by one task serve the next."""
-    if path not in _encoders:
-        _encoders[path] = BatchEncoder(path)
-    return _encoders[path]
+        words = split.flatten().dictionary_encode()
+        del split, rest
+        entries, upto = self._entries(words.dictionary)
+        ids = gathered(self.flat, self.start, self.length, entries)
+        upto = np.concatenate([[0], np.cumsum(self.length[entries], dtype=np.int64)])[np.concatenate([[0], upto])]
+        # entries of this call: its different words, the end, texts that went to the library whole
+        found = [self._ids(texts[int(k)].as_py()) for k in np.flatnonzero(whole)]
+        length = np.concatenate([np.diff(upto), [1], list(map(len, found))]).astype(np.int32)
+        ids = np.concatenate([ids, np.array([end_id], self.dtype), *(np.array(x, self.dtype) for x in found)])
+        start, end = np.cumsum(length, dtype=np.int32) - length, len(words.dictionary)
+        at, each, out = words.indices.to_numpy(), np.zeros(len(texts), np.int64), []
+        del words
+        i = n = 0
+        while i < len(texts):  # a stretch of words at a time
+            a = ends[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, a + STRETCH, "right")))
+            own, last = at[a : ends[j - 1]], ends[i:j] - a
+            if whole[i:j].any():
+                here = whole[i:j]
+                own = np.insert(own, last[here], np.arange(end + 1 + n, end + 1 + n + here.sum()))
+                last, n = last + np.cumsum(here), n + int(here.sum())
+            own = np.insert(own, last, end)
+            last = last + np.arange(1, j - i + 1)
+            each[i:j] = np.diff(np.concatenate([[0], np.cumsum(length[own], dtype=np.int64)])[last], prepend=0)
+            out.append(gathered(ids, start, length, own))
+            i = j
+        return np.concatenate(out) if out else np.zeros(0, self.dtype), each
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The stretches of flat that the numbers in `at` stand for, one after the other."""
+    n = length[at]
+    upto = np.cumsum(n)
+    return flat[np.repeat(start[at] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
 
 
 def write_shards(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None, most: int = SHARD_IDS) -> list[dict]:
@@ -285,7 +326,7 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer)
+        encode = kept(BatchEncoder, tokenizer)
         shard = TaskContext.get().partitionId()
         made, doc_ids, counts, chunks, total, nulls = [], [], [], [], 0, 0
 
@@ -366,6 +407,7 @@ def read_shards(spark, shards: list[dict]) -> DataFrame:
     def read(batches):
         import pyarrow as pa
 
+        release()  # the write's store, in a worker that goes on to read
         for b in batches:
             for path, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = Shard(path)
