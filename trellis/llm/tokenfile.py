@@ -33,10 +33,10 @@ MAGIC = b"TRLEF001"
 HEAD = "<8sIIQQQ"
 END_ID = 2
 #: Pieces kept with their ids per worker; the store is emptied beyond it, so memory is bounded.
-KEPT = 400_000
+KEPT = 500_000
 SAMPLE = 512
 #: Ids of a file; bytes of text that are encoded at once; words whose ids are put together at once.
-SHARD_IDS, SLICE, STRETCH = 64 << 20, 16 << 20, 250_000
+SHARD_IDS, SLICE, STRETCH = 64 << 20, 4 << 20, 250_000
 
 
 class EliasFano:
