@@ -212,6 +212,20 @@ def test_stored_edges_meet_by_either_end(spark):
     assert bag(e.run("MATCH (a:v)-[:to*2..2]->(b) RETURN a.id AS a, b.id AS b")) == Counter((a, d) for a, b in pairs for c, d in pairs if b == c)
 
 
+def test_closing_through_a_hub_comes_last(spark, tmp_path):
+    """2,000 customers and 1,000 suppliers of one nation: their 2,000,000 pairs are not made to find the 1,000 orders that join them."""
+    n, q = 2000, "MATCH (c:c)-[:lives]->(n)<-[:based]-(s:s), (c)-[:placed]->(o)-[:by]->(s) RETURN c.k AS c, s.k AS s, o.k AS o"
+    rows = {"c": [(i, 0) for i in range(n)], "s": [(i, i % 2) for i in range(n)], "o": [(i, (i * 7) % n) for i in range(n)], "n": [(0, 0), (1, 0)]}
+    g = PropertyGraph(spark)
+    for label, r in rows.items():
+        spark.createDataFrame(r, "k long, x long").coalesce(1).write.parquet(f"{tmp_path}/{label}")
+        g.add_vertices(label, spark.read.parquet(f"{tmp_path}/{label}"), "k")
+    t = lambda label: spark.read.parquet(f"{tmp_path}/{label}")
+    g.add_edges("lives", "c", "n", t("c"), "k", "x").add_edges("based", "s", "n", t("s"), "k", "x").add_edges("placed", "c", "o", t("o"), "x", "k").add_edges("by", "o", "s", t("o"), "k", "k")
+    assert bag(Engine(g).run(q)) == Counter((x, k, k) for k, x in rows["o"] if k % 2 == 0)
+    assert max(m.get("numOutputRows", 0) for _, m in Engine(g).profile(q)) <= n
+
+
 def test_console(world, tmp_path):
     from trellis.console import Console, split
 

@@ -3,12 +3,14 @@
 A bound node variable v is a column v__id, a label that is known here or lies in v__label, and v__p_<property> for each
 property that the query speaks of. Other variables are single columns named v__v. The order of expands is ours (Catalyst
 doesn't reorder joins without statistics): start where filters are strongest, then always take the relationship whose
-far end is bound or else most filtered.
+far end is bound or else most filtered; one that leads from few vertices to many, as from a nation to its customers, waits
+for those that may bind its far end.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from math import log10
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from .nodes import Agg, Bin, Item, Lit, Node, Param, Path, Project, Prop, Rel, U
 
 MAX_HOPS = 255  # of a walk without an upper bound; a longer one is an error
 
+BACK = {"out": "in", "in": "out", "both": "both"}
+
 
 @dataclass(frozen=True)
 class Bound:
@@ -220,7 +224,12 @@ class Compiler:
 
             def rank(t):
                 far = t[2] if t[0] in bound else t[0]
-                return (1000 if t[0] in bound and t[2] in bound else strength[far]) - 5 * (t[1].low is not None)
+                if t[0] in bound and t[2] in bound:
+                    return 1000 - 5 * (t[1].low is not None)
+                near = t[0] if far == t[2] else t[2]
+                way = t[1].way if far == t[2] else BACK[t[1].way]
+                fan = self.g.fan_out(t[1].type, way, labels[near], labels[far]) if len(ready) > 1 else 1
+                return strength[far] - 5 * (t[1].low is not None) - 3 * log10(max(fan, 1))
 
             t = max(ready, key=rank)
             left.remove(t)
@@ -228,7 +237,7 @@ class Compiler:
             flip = a not in bound
             if flip:
                 a, b = b, a
-                r = replace(r, way={"out": "in", "in": "out", "both": "both"}[r.way])
+                r = replace(r, way=BACK[r.way])
             cur = self.walk_(cur, a, r, b, nodes, labels, b in bound) if r.low is not None else self.hop(cur, a, r, b, nodes, labels, b in bound)
             bound.add(b)
         return self.where(cur, where) if where is not None else cur

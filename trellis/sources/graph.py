@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from ..errors import QueryError
 from .shared import discard, written
 
+UNKNOWN = 10**15  # bytes; Catalyst takes tables of unknown size for larger ones
+
 
 @dataclass(frozen=True)
 class Edges:
@@ -42,6 +44,11 @@ def stored(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both
 
 
+def size(df: DataFrame) -> int:
+    """Catalyst's estimate in bytes, from the sizes of files; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def plain(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Properties in the four scalar types: whole numbers as bigint, others as double, dates as text."""
     out = []
@@ -120,6 +127,17 @@ class PropertyGraph:
 
     # statistics
 
+    def fan_out(self, type_: str | None, way: str, src_labels: frozenset[str], dst_labels: frozenset[str]) -> float:
+        """About how many edges a vertex has, by the sizes of the tables; 1 where these aren't known."""
+        edges, at = 0, set()
+        for e in self.edge_defs(type_):
+            for a, b in [(e.src_label, e.dst_label)] * (way != "in") + [(e.dst_label, e.src_label)] * (way != "out"):
+                if a in src_labels and b in dst_labels:
+                    edges += size(e.df.select("__src"))
+                    at.add(a)
+        vertices = sum(size(self.vertices[a].select("__id")) for a in at if a in self.vertices)
+        return edges / vertices if 0 < edges < UNKNOWN and 0 < vertices < UNKNOWN else 1.0
+
     def degrees(self, label: str, type_: str | None = None, way: str = "out") -> DataFrame:
         """id, degree of every vertex of a label, 0 included. way: out, in or both."""
         parts = []
