@@ -226,6 +226,19 @@ def test_closing_through_a_hub_comes_last(spark, tmp_path):
     assert max(m.get("numOutputRows", 0) for _, m in Engine(g).profile(q)) <= n
 
 
+def test_stored_edges_are_told_apart_in_bounded_slices(spark, monkeypatch):
+    """600 pairs, some of them three times: stored once, sorted, and in slices that don't grow with the table."""
+    from trellis.sources import graph
+
+    monkeypatch.setattr(graph, "SLICE", 100)
+    pairs = [(a, b) for a in range(30) for b in range(20)]
+    src, dst = graph.stored(spark.createDataFrame(pairs + pairs[::2] * 2, "__src long, __dst long"), distinct=True)
+    for rows, end in ((src, 0), (dst, 1)):
+        parts = [spark.read.parquet(f).collect() for f in rows.inputFiles()]
+        assert bag(rows) == Counter(pairs) and max(map(len, parts)) <= 200
+        assert all([r[end] for r in p] == sorted(r[end] for r in p) for p in parts)
+
+
 def test_console(world, tmp_path):
     from trellis.console import Console, split
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .sources import delimited
-from .sources.graph import PropertyGraph, stored
+from .sources.graph import PropertyGraph, slices, stored
 from .sources.shared import work_dir
 from .traversal import gt, traverse
 
@@ -52,8 +52,9 @@ def _co_bought(spark: SparkSession, line: DataFrame, sf_dir: str) -> tuple[DataF
     """Pairs of parts in one order, the smaller key first; derived and stored once per application."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _stored:
-        a, b = (line.select(F.col("l_orderkey").alias(o), F.col("l_partkey").alias(p)).distinct() for o, p in (("o1", "__src"), ("o2", "__dst")))
-        _stored[key] = stored(a.join(b, (F.col("o1") == F.col("o2")) & (F.col("__src") < F.col("__dst"))).select("__src", "__dst").distinct())
+        lines = line.select("l_orderkey", "l_partkey").repartition(slices(spark, line.count()), "l_orderkey")
+        a, b = (lines.select(F.col("l_orderkey").alias(o), F.col("l_partkey").alias(p)) for o, p in (("o1", "__src"), ("o2", "__dst")))
+        _stored[key] = stored(a.join(b, (F.col("o1") == F.col("o2")) & (F.col("__src") < F.col("__dst"))).select("__src", "__dst"), distinct=True)
     return _stored[key]
 
 

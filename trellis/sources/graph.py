@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,8 @@ from ..errors import QueryError
 from .shared import discard, written
 
 UNKNOWN = 10**15  # bytes; Catalyst takes tables of unknown size for larger ones
+LARGE = 4 << 20  # bytes
+SLICE = 2_000_000  # rows that a task sorts, of edges that are stored
 
 
 @dataclass(frozen=True)
@@ -28,20 +30,38 @@ class Edges:
     def df(self) -> DataFrame:
         return self.rows if isinstance(self.rows, DataFrame) else self.rows()[0]
 
+    @property
+    def large(self) -> bool:
+        """Whether these are stored edges that rows had better not be shuffled to meet."""
+        return not isinstance(self.rows, DataFrame) and LARGE <= size(self.df)
+
     @property
     def back(self) -> DataFrame:
         """The same rows, to be met by __dst."""
         return self.rows if isinstance(self.rows, DataFrame) else self.rows()[1]
 
 
-def stored(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def slices(spark: SparkSession, rows: int) -> int:
+    """How many tasks rows are cut for, so that what a task sorts doesn't grow with the table."""
+    return max(-(-rows // SLICE), min(spark.sparkContext.defaultParallelism, -(-rows // 100_000)), 1)
+
+
+def stored(edges: DataFrame, distinct: bool = False) -> tuple[DataFrame, DataFrame]:
     """Edges that are costly to derive, written once in the order of each end: a walk's step from a few vertices then reads
-    the row groups that hold them, and not the tables that the edges were derived from."""
+    the row groups that hold them, and not the tables that the edges were derived from. distinct: of edges without
+    properties, one between two vertices; told in sorted order, so that no task holds more than it sorts."""
     e = written(edges, "edges")
-    by = lambda end: written(e.repartitionByRange(end).sortWithinPartitions(end), "edges-by")
-    both = by("__src"), by("__dst")
+    n = slices(e.sparkSession, e.count())
+    src = e.repartitionByRange(n, "__src")
+    if distinct:
+        last = F.lag("__dst").over(Window.partitionBy("__src").orderBy("__dst"))
+        src = src.withColumn("__last", last).filter("__last IS NULL OR __last <> __dst").drop("__last")
+    else:
+        src = src.sortWithinPartitions("__src")
+    src = written(src, "edges-by")
+    dst = written(src.repartitionByRange(n, "__dst").sortWithinPartitions("__dst"), "edges-by")
     discard(e)
-    return both
+    return src, dst
 
 
 def size(df: DataFrame) -> int:
