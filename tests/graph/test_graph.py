@@ -239,6 +239,72 @@ def test_stored_edges_are_told_apart_in_bounded_slices(spark, monkeypatch):
         assert all([r[end] for r in p] == sorted(r[end] for r in p) for p in parts)
 
 
+@pytest.fixture(params=["small", "large"])
+def web(spark, request, monkeypatch):
+    """A random graph of stored edges, taken for small ones or for large ones."""
+    from trellis.operators import graph_ops
+    from trellis.sources import graph
+
+    monkeypatch.setattr(graph, "LARGE", 0 if request.param == "large" else 1 << 60)
+    monkeypatch.setattr(graph_ops, "FEW", 5)
+    monkeypatch.setattr(graph_ops, "BLOCK", 2)
+    r = random.Random(5)
+    pairs = sorted({(r.randrange(9), r.randrange(9)) for _ in range(22)})
+    age = {i: r.choice([None, 1, 2, 3]) for i in range(9)}
+    made = graph.stored(spark.createDataFrame(pairs, "__src long, __dst long"))
+    g = PropertyGraph(spark).add_vertices("v", spark.createDataFrame(list(age.items()), "id long, age long"), "id").add_stored_edges("to", "v", "v", lambda: made)
+    return Engine(g), age, pairs + [(b, a) for a, b in pairs]
+
+
+def test_walks_whose_start_is_not_returned(web):
+    """Counted walks give the rows, counts and sums of listed ones."""
+    e, age, both = web
+    one, two = Counter(both), Counter((a, d) for a, b in both for c, d in both if b == c)
+    w = one + two
+    assert bag(e.run("MATCH (a:v {id: 1})-[:to*1..2]-(b) RETURN b.id AS b")) == Counter({(b,): n for (a, b), n in w.items() if a == 1})
+    assert bag(e.run("MATCH (a:v {id: 1})-[:to*2..2]-(b) RETURN b.id AS b ORDER BY b SKIP 1")) == Counter(sorted((b,) for (a, b), n in two.items() for _ in range(n) if a == 1)[1:])
+    ends = Counter(range(9))
+    for (_, b), n in w.items():
+        ends[b] += n
+    assert bag(e.run("MATCH (a:v)-[:to*0..2]-(b) RETURN b.id AS b, count(*) AS n, count(b.age) AS m, max(b.age) AS x")) == Counter((b, n, n if age[b] else 0, age[b]) for b, n in ends.items())
+    assert e.run("MATCH (a:v)-[:to*1..2]-(b) RETURN sum(b.age) AS s").first()[0] == sum(n * (age[b] or 0) for (_, b), n in w.items())
+    assert e.run("MATCH (a:v)-[:to*1..2]-(b) WHERE b.age > 9 RETURN count(b) AS n").first()[0] == 0
+    assert bag(e.run("MATCH (a:v {id: 2})-[:to]-(b) RETURN b.id AS b")) == Counter({(b,): n for (a, b), n in one.items() if a == 2})
+
+
+@pytest.mark.parametrize("text", [
+    "MATCH (a:v)-[:to*1..2]-(b)-[:to*1..2]->(c) RETURN c.id AS c", "MATCH (a:v {id: 3})-[:to*1..3]->(b) WHERE NOT (b)-[:to]->(b) RETURN b.id AS b, b.age AS g", "MATCH (a:v {id: 2}), (c:v)-[:to*0..2]->(b) RETURN b.id AS b, c.id AS c",
+    "MATCH (a:v {id: 1})-[:to*1..2]-(b) MATCH (b)-[:to]-(c) RETURN b.id AS b, c.id AS c", "MATCH (a:v {id: 3})-[:to*1..2]->(b), (b)-[:to]->(c)<-[:to*1..1]-(b) RETURN c.age AS c", "MATCH (c:v) OPTIONAL MATCH (a:v {id: 2})-[:to*2..2]-(b) WHERE b.age > c.age RETURN c.id AS c, b.id AS b",
+])
+def test_walks_whose_start_is_dropped(web, text):
+    assert bag(web[0].run(text)) == bag(web[0].run(text + ", a.id AS zz").drop("zz"))
+
+
+def test_walks_from_everywhere_are_not_listed(spark, tmp_path):
+    """40 vertices, each with an edge to each other: 60,840 walks of two edges, counted from 1,560 edges."""
+    from trellis.sources.graph import stored
+
+    made = stored(spark.createDataFrame([(a, b) for a in range(40) for b in range(a)], "__src long, __dst long"))
+    e = Engine(PropertyGraph(spark).add_vertices("v", spark.range(40), "id").add_stored_edges("to", "v", "v", lambda: made))
+    q = "MATCH (a:v)-[:to*1..2]-(b) RETURN b.id AS b, count(b) AS n"
+    assert bag(e.run(q)) == Counter((b, 39 + 39 * 39) for b in range(40))
+    assert max(m.get("numOutputRows", 0) for _, m in e.profile(q)) <= 1560
+
+
+def test_few_rows_meet_large_edges_where_they_lie(web):
+    """From a picked vertex the edges are not shuffled."""
+    e = web[0]
+    large = e.graph.edges[0].large
+    for q in ("MATCH (a:v {id: 1})-[:to*1..1]-(b) RETURN b AS b", "MATCH (a:v {id: 1})-[:to]-(b) RETURN b AS b"):
+        spark = e.graph.spark
+        was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            assert ("SortMergeJoin" in e.explain(q)) != large
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_console(world, tmp_path):
     from trellis.console import Console, split
 

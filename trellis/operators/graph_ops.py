@@ -15,6 +15,9 @@ from ..errors import QueryError
 from ..sources.graph import Edges
 from ..sources.shared import written
 
+FEW = 100_000  # rows that may be sent to all tasks
+BLOCK = 10_000  # of the list that spreads a row
+
 
 def edge_rows(defs: list[Edges], way: str, src_labels: set[str], dst_labels: set[str], props: tuple[str, ...], name: str, with_type: bool = False) -> DataFrame | None:
     """The edges from a source to a destination label as name__s, name__sl, name__d, name__dl and name__p_<property>.
@@ -58,13 +61,39 @@ def optional(df: DataFrame, inner: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(renamed, on, "left").drop(*[f"__k_{c}" for c in keys])
 
 
-def walks(df: DataFrame, start: str, start_label: str | None, edges, low: int, high: int, end: str, end_label: str, labels: set[str]) -> DataFrame:
+def few(df: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows, written to the shared folder, and whether they are few enough to be sent to all that read edges."""
+    rows = written(df, "walks")
+    return rows, rows.count() <= FEW
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """Equal rows as one, with how many they are in __n."""
+    n = F.col("__n") if "__n" in df.columns else F.lit(1).cast("long")
+    return df.withColumn("__n", n).groupBy(*[c for c in df.columns if c != "__n"]).agg(F.sum("__n").alias("__n"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Each row as often as __n tells. In two steps, so no list is longer than a row's number of walks needs."""
+    if "__n" not in df.columns:
+        return df
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {BLOCK}")))
+    one = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(BLOCK).cast("long"), F.expr(f"__n - __block * {BLOCK}"))))
+    return df.withColumn("__block", block).withColumn("__one", one).drop("__n", "__block", "__one")
+
+
+def walks(df: DataFrame, start: str, start_label: str | None, edges, low: int, high: int, end: str, end_label: str, labels: set[str], dead: tuple[str, ...] = (), large: bool = False, picked: bool = False) -> DataFrame:
     """One row per walk of low..high edges from start, with the end's id and label. edges(k) gives fresh edge rows of step k.
 
-    Bounded lengths are unrolled joins; the frontier is all that is added to the rows.
+    Bounded lengths are unrolled joins; the frontier is all that is added to the rows. dead: columns, those of the start
+    among them, that nothing asks for. Walks that differ only in these are gathered after each step and counted in __n, so
+    a frontier has at most rows times vertices. Where edges are large, frontiers that are gathered or grow from picked
+    vertices are written: a step then starts from rows, not from all steps before, and few rows are sent to the edges.
     """
     here = df.withColumn("__f", F.col(start)).withColumn("__fl", F.col(start_label) if start_label else F.lit(None).cast("string"))
-    out = []
+    if dead:
+        here = gathered(here.drop(*dead))
+    out, keep = [], large and (picked or bool(dead))
     if low == 0:
         out.append(here)
     for k in range(1, high + 1):
@@ -75,7 +104,15 @@ def walks(df: DataFrame, start: str, start_label: str | None, edges, low: int, h
         on = F.col("__f") == F.col(s)
         if len(labels) > 1:
             on = on & (F.col("__fl") == F.col(sl))
+        if keep:
+            here, small = few(here)
+            if k > low:
+                out[-1] = here
+            keep = small or bool(dead)
+            here = F.broadcast(here) if small else here
         here = here.join(e, on).drop("__f", "__fl", s, sl).withColumnRenamed(d, "__f").withColumnRenamed(dl, "__fl")
+        if dead:
+            here = gathered(here)
         if k >= max(low, 1):
             out.append(here)
     if not out:
@@ -84,21 +121,21 @@ def walks(df: DataFrame, start: str, start_label: str | None, edges, low: int, h
     return u.withColumnRenamed("__f", end).withColumnRenamed("__fl", end_label)
 
 
-def open_walks(df: DataFrame, start: str, start_label: str, edges: DataFrame | None, low: int, most: int, end: str, end_label: str) -> DataFrame:
-    """Walks without an upper bound: one row per walk of low edges or more. edges are rows named __w.
+def open_walks(df: DataFrame, start: str, start_label: str, edges: DataFrame | None, low: int, most: int, end: str, end_label: str, dead: tuple[str, ...] = ()) -> DataFrame:
+    """Walks without an upper bound: one row per walk of low edges or more, equal ones counted in __n. edges are rows named __w.
 
     The driver writes each frontier to the shared folder until it is empty. A frontier holds how many walks lead from a
     row to a vertex, so it has at most rows times vertices. Walks of more than `most` edges are an error.
     """
-    here = df.withColumn("__f", F.col(start)).withColumn("__fl", F.col(start_label).cast("string")).withColumn("__n", F.lit(1).cast("long"))
-    out, keep = [here] if low == 0 else [], here.columns[:-1]
+    here = gathered(df.withColumn("__f", F.col(start)).withColumn("__fl", F.col(start_label).cast("string")).drop(*dead))
+    out = [here] if low == 0 else []
     if edges is None:
-        return (out[0] if out else here.limit(0)).drop("__n").withColumnRenamed("__f", end).withColumnRenamed("__fl", end_label)
+        return (out[0] if out else here.limit(0)).withColumnRenamed("__f", end).withColumnRenamed("__fl", end_label)
     edges, k = written(edges, "walk-edges"), 0
     while True:
         on = (F.col("__f") == F.col("__w__s")) & (F.col("__fl") == F.col("__w__sl"))
         here = here.join(edges, on).drop("__f", "__fl", "__w__s", "__w__sl").withColumnRenamed("__w__d", "__f").withColumnRenamed("__w__dl", "__fl")
-        here = written(here.groupBy(*keep).agg(F.sum("__n").alias("__n")), "walks")
+        here = written(gathered(here), "walks")
         if here.isEmpty():
             break
         k += 1
@@ -107,5 +144,4 @@ def open_walks(df: DataFrame, start: str, start_label: str, edges: DataFrame | N
         if k >= low:
             out.append(here)
     u = reduce(lambda a, b: a.unionByName(b), out) if out else here
-    u = u.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n")
     return u.withColumnRenamed("__f", end).withColumnRenamed("__fl", end_label)

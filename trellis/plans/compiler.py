@@ -44,6 +44,9 @@ class Compiler:
     def __init__(self, graph: PropertyGraph, params: dict | None = None, into: str = "join", max_hops: int = MAX_HOPS):
         self.g, self.params, self.into, self.max_hops = graph, params or {}, into, max_hops
         self.fresh = 0
+        self.later: set[str] | None = None  # variables that the clauses after this one speak of; None: all
+        self.picked = False  # the rows grow from vertices that an equality picks
+        self.counted = False  # aggregates count rows by __n
 
     def name(self, base: str) -> str:
         self.fresh += 1
@@ -74,7 +77,8 @@ class Compiler:
                 merged[-1] = replace(c, paths=merged[-1].paths + c.paths, where=Bin("and", *both) if len(both) == 2 else both[0] if both else None)
             else:
                 merged.append(c)
-        for c in merged:
+        for i, c in enumerate(merged):
+            self.later = self._spoken(merged[i + 1 :])
             if isinstance(c, Project):
                 state, seen = self.project(state, c), set()
             else:
@@ -89,6 +93,15 @@ class Compiler:
             return [i.expr for i in c.items] + [e for e, _ in c.order] + ([c.where] if c.where is not None else [])
         return ([c.where] if c.where is not None else []) + list(c.paths)
 
+    def _spoken(self, clauses) -> set[str] | None:
+        """The variables that clauses speak of, as far as the next projection; None where that returns all."""
+        out = set()
+        for c in clauses:
+            out |= {x for e in self._exprs(c) for x in names(e)} | {n.var for p in getattr(c, "paths", ()) for n in p.nodes}
+            if isinstance(c, Project):
+                return None if c.star else out
+        return out
+
     def _bind(self, x):
         """Parameters become literals."""
         if isinstance(x, Param):
@@ -132,6 +145,9 @@ class Compiler:
         if isinstance(e, Path):
             return F.col(marks[e]), "bool"
         if isinstance(e, Agg):
+            if self.counted and e.fn == "count" and not e.distinct:
+                n = F.col("__n") if e.arg is None else F.when(self.expr(e.arg, st, marks)[0].isNotNull(), F.col("__n"))
+                return F.coalesce(F.sum(n), F.lit(0).cast("long")), "int"
             return S.aggregate(e.fn, None if e.arg is None else self.expr(e.arg, st, marks), e.distinct)
         if isinstance(e, Un):
             return S.unary(e.op, self.expr(e.arg, st, marks))
@@ -169,9 +185,10 @@ class Compiler:
             raise SemanticProblem("a pattern in WHERE needs a bound variable")
         nodes = tuple(replace(n, var=f"{n.var}") for n in p.nodes)
         narrow = {v: st.vars[v].labels for v in shared}
-        saved, self.needs = self.needs, {}
+        saved = self.needs, self.later, self.picked
+        self.needs, self.later, self.picked = {}, set(shared), False
         inner = self.match(State(), (Path(nodes, p.rels),), None, narrow)
-        self.needs = saved
+        self.needs, self.later, self.picked = saved
         pairs, cols = [], []
         for v in dict.fromkeys(shared):
             k = self.name(v)
@@ -217,6 +234,7 @@ class Compiler:
                 if not free:
                     break
                 v = max(free, key=lambda v: (strength[v], -list(nodes).index(v)))
+                self.picked = strength[v] >= 10 and (cur.df is None or self.picked)
                 cur = self.scan(cur, nodes[v], labels[v], self.filtered(v, nodes[v], where))
                 bound.add(v)
                 continue
@@ -238,7 +256,10 @@ class Compiler:
             if flip:
                 a, b = b, a
                 r = replace(r, way=BACK[r.way])
-            cur = self.walk_(cur, a, r, b, nodes, labels, b in bound) if r.low is not None else self.hop(cur, a, r, b, nodes, labels, b in bound)
+            live = None
+            if self.later is not None:
+                live = self.later | names(where) | {x for y, _, z in left for x in (y, z)} | {x for p in paths for x in names(replace(p, nodes=tuple(replace(n, named=False) for n in p.nodes)))} | ({b} if b in bound else set())
+            cur = self.walk_(cur, a, r, b, nodes, labels, b in bound, live) if r.low is not None else self.hop(cur, a, r, b, nodes, labels, b in bound)
             bound.add(b)
         return self.where(cur, where) if where is not None else cur
 
@@ -340,7 +361,11 @@ class Compiler:
                 on.append((f"{b}__label", f"{e}__dl"))
             if self.into == "exists" and not need:
                 return State(O.exists(st.df, rows.select(*[y for _, y in on]), on, "left_semi"), st.vars)
-        df = O.expand(st.df, rows, on)
+        df = st.df
+        if self.picked and any(d.large for d in self.g.edge_defs(r.type) if {d.src_label, d.dst_label} <= labels[a] | labels[b]):
+            df, small = O.few(df)
+            df = F.broadcast(df) if small else df
+        df = O.expand(df, rows, on)
         vars_ = dict(st.vars)
         if need:
             kinds = {}
@@ -371,7 +396,8 @@ class Compiler:
         on = [(id_col, f"{v}__id")] + ([(label_col, f"{v}__label")] if len(labels) > 1 else [])
         return self.map_filter(State(O.expand(st.df, rows, on), {**st.vars, v: bound}), n)
 
-    def walk_(self, st: State, a: str, r: Rel, b: str, nodes, labels, closing: bool) -> State:
+    def walk_(self, st: State, a: str, r: Rel, b: str, nodes, labels, closing: bool, live: set[str] | None) -> State:
+        """live: variables that are spoken of after the walk. Where its start isn't, walks are counted, not listed."""
         if r.props or self.needs.get(r.var):
             raise SemanticProblem("properties of a walk of several relationships")
         defs = self.g.edge_defs(r.type)
@@ -379,10 +405,14 @@ class Compiler:
         end, end_label = self.name("end"), self.name("endl")
         src_label = self.name("sl")
         df = st.df.withColumn(src_label, F.col(f"{a}__label"))
+        gone = {v for v in st.vars if v not in live} if live is not None and a not in live else set()
+        of = lambda c, vs: any(c.startswith(f"{v}__") for v in vs)
+        dead = tuple(c for c in df.columns if c == src_label or of(c, gone) and not of(c, st.vars.keys() - gone)) if gone else ()
         if r.high == -1:
-            w = O.open_walks(df, f"{a}__id", src_label, O.edge_rows(defs, r.way, every, every, (), "__w"), r.low, self.max_hops, end, end_label).drop(src_label)
+            w = O.open_walks(df, f"{a}__id", src_label, O.edge_rows(defs, r.way, every, every, (), "__w"), r.low, self.max_hops, end, end_label, dead).drop(src_label)
         else:
-            w = O.walks(df, f"{a}__id", src_label, lambda k: O.edge_rows(defs, r.way, every, every, (), f"__w{k}"), r.low, r.high, end, end_label, every).drop(src_label)
+            w = O.walks(df, f"{a}__id", src_label, lambda k: O.edge_rows(defs, r.way, every, every, (), f"__w{k}"), r.low, r.high, end, end_label, every, dead, any(d.large for d in defs), self.picked).drop(src_label)
+        st = State(w, {v: x for v, x in st.vars.items() if v not in gone})
         want = labels[b] if labels[b] else frozenset()
         if want != frozenset(every):
             w = w.filter(F.col(end_label).isin(*want) if want else F.lit(False))
@@ -411,9 +441,10 @@ class Compiler:
         used |= {x for p in c.paths for n in (*p.nodes, *p.rels) for _, e in n.props for x in names(e)}
         keys = [x for x in st.df.columns if any(x.startswith(f"{v}__") for v in used if v in st.vars)]
         outer = State(st.df.select(*keys).distinct() if keys else None, {v: b for v, b in st.vars.items() if v in used})
+        self.later = None if self.later is None else self.later | used
         inner = self.match(outer, c.paths, c.where)
         new = {v: b for v, b in inner.vars.items() if v not in st.vars}
-        return State(O.optional(st.df, inner.df, keys), {**st.vars, **new})
+        return State(O.optional(st.df, O.spread(inner.df), keys), {**st.vars, **new})
 
     # projections
 
@@ -428,6 +459,13 @@ class Compiler:
         if st.df is None:
             st = State(self.g.spark.range(1).select(F.lit(1).alias("__seed")), {})
         aggregated = any(has_agg(i.expr) for i in items) or any(has_agg(e) for e, _ in p.order)
+        if "__n" in st.df.columns:
+            aggs = [x for e in [*(i.expr for i in items), *(e for e, _ in p.order)] for x in walk(e) if isinstance(x, Agg)]
+            self.counted = aggregated and all(x.fn in ("count", "min", "max") or x.distinct for x in aggs)
+            if not self.counted:
+                st = State(st.df.drop("__n") if p.distinct and not aggregated else O.spread(st.df), st.vars)
+        else:
+            self.counted = False
         cols, vars_, where_is = [], {}, {}
         for i in items:
             for c in self.columns(i, st, p.final, vars_):
