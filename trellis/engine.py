@@ -20,7 +20,8 @@ class Engine:
         self.graph, self.into, self.max_hops = graph, into, max_hops
 
     def run(self, text: str, params: dict | None = None) -> DataFrame:
-        """The result of the last statement of text. No Spark job runs before the DataFrame is used."""
+        """The result of the last statement of text. No Spark job runs before the DataFrame is used, but for
+        stored edges, frontiers that meet large ones, and walks without an upper bound."""
         q = parse(text)
         if isinstance(q, Index):
             return self.graph.spark.createDataFrame([(self.graph.index(q.label, q.key, q.create),)], "result string")
